@@ -68,7 +68,7 @@ _FRAME_OK = "regexp_full_match(trim(coalesce({f},''), ' '), '[.012]')"
 _ELEMENT_OK = f"{_USABLE.format('seqname_')} and {_START_OK.format(s='start_', e='end_')} and {_FRAME_OK.format(f='frame_')}"
 
 _PERIODS = f"""
-with g as (select {_KEY.format('seqname_')} as seq_key, try_cast(trim(start_, ' ') as bigint) as s, try_cast(trim(end_, ' ') as bigint) as e
+with g as (select distinct {_KEY.format('seqname_')} as seq_key, try_cast(trim(start_, ' ') as bigint) as s, try_cast(trim(end_, ' ') as bigint) as e
     from gff_element where {_ELEMENT_OK} and regexp_full_match(trim(coalesce(end_, ''), ' '), '[0-9]+')),
 m as (select *, max(e) over (partition by seq_key order by s, e rows between unbounded preceding and 1 preceding) as before from g),
 b as (select *, sum(case when before is null or s > before + 1 then 1 else 0 end) over (partition by seq_key order by s, e rows unbounded preceding) as n from m),
