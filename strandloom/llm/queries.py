@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
-from ..session import table
+from ..session import cut_lineage, table
 from .frequent import frequent_items
+from .mixing import Mix, Target, mix
+from .packing import pack, packing_summary
+from .tokens import token_count
 
 QUERIES = Registry()
 
@@ -30,3 +33,47 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 def p3_frequent_estimates(spark: SparkSession, folder: str) -> DataFrame:
     """The same strings with the sketch's estimate beside the exact total."""
     return _frequent_kmers(spark, folder).select("strseq", "estimate", F.col("total_weight").alias("total"))
+
+
+def _sizes(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Documents' sizes in tokens, counted once."""
+    docs = table(spark, folder, "documents").select("doc_id", *columns, "text")
+    return cut_lineage(docs.select("doc_id", *columns, token_count(F.col("text")).alias("tokens")))
+
+
+def _containers(spark: SparkSession, folder: str) -> DataFrame:
+    # a fixed table of a few capacities
+    specs = [(r["spec_name"], r["capacity_tokens"]) for r in table(spark, folder, "pack_specs").filter("capacity_tokens >= 1").orderBy("spec_name").collect()]
+    return pack(_sizes(spark, folder), "doc_id", "tokens", specs)
+
+
+@QUERIES.add()
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of every text, or of every piece of a text that exceeds the capacity, per capacity."""
+    p = _containers(spark, folder)
+    return p.select(F.col("spec").alias("spec_name"), F.col("item").alias("doc_id"), "piece", F.col("size").alias("tokens"), F.col("container").alias("container_id"), F.col("fill").alias("container_tokens"))
+
+
+@QUERIES.add()
+def p6_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers and unused room per capacity."""
+    return packing_summary(_containers(spark, folder)).withColumnRenamed("spec", "spec_name")
+
+
+def _mix(spark: SparkSession, folder: str) -> Mix:
+    # a fixed table of a few sources
+    rows = table(spark, folder, "mix_targets").filter("source is not null").orderBy("source").collect()
+    targets = [Target(r["source"].strip(" ").lower(), float(r["target_share"]), int(r["max_repeats"])) for r in rows]
+    return mix(_sizes(spark, folder, "source"), "doc_id", "source", "tokens", targets)
+
+
+@QUERIES.add()
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The chosen documents with their repeats in training order."""
+    return _mix(spark, folder).chosen
+
+
+@QUERIES.add()
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual shares of the sources."""
+    return _mix(spark, folder).shares
