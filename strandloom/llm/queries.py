@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import semi_join
 from ..plans.registry import Registry
 from ..session import cut_lineage, table
 from .frequent import frequent_items
 from .mixing import Mix, Target, mix
 from .packing import pack, packing_summary
+from .residue import find_residue
 from .tokens import token_count
 
 QUERIES = Registry()
@@ -77,3 +79,18 @@ def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Target and actual shares of the sources."""
     return _mix(spark, folder).shares
+
+
+@QUERIES.add()
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records with template residue, filler, error pages or script notices in place of their content."""
+    return find_residue(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("doc", "doc_id")
+
+
+@QUERIES.add()
+def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents without them."""
+    docs = table(spark, folder, "documents")
+    found = find_residue(docs, "doc_id", "text").withColumnRenamed("doc", "doc_id")
+    kept = semi_join(docs.select("doc_id", "repo", "source", "n_chars"), found, "doc_id", anti=True)
+    return kept
