@@ -25,6 +25,8 @@ PLACEHOLDERS = [
     r"\$\{[^{}\n]{0,60}\}",  # ${name}
     r"\{\{[^{}\n]{0,60}\}\}",  # {{ name }}
     r"<%[^%<>\n]{0,60}%>",  # <%= name %>
+    r"\{%[^%{}\n]{0,60}%\}",  # {% name %}
+    r"~~\w+~~",  # ~~name~~
     r"#\{[^{}\n]{0,60}\}",  # #{name}
     r"\{[A-Za-z0-9_.]{0,40}\}",  # {name}, {0}
     r"<<[^<>\n]{1,60}>>",  # <<name>>
@@ -34,8 +36,9 @@ PLACEHOLDERS = [
     r"\[object Object\]",
     r"【[^】\n]{1,60}】",
     r"@@\w+@@",  # @@NAME@@
+    r"(?<![\w@])@[A-Za-z_]+@(?![\w@])",  # @NAME@
     r"__[A-Za-z][A-Za-z_]*[A-Za-z]__",  # __NAME__
-    r"%\([^)\n]{1,40}\)[sd]",  # %(name)s
+    r"%\([^)\n]{1,40}\)[sdSD]",  # %(name)s
     r"%[A-Za-z]\w{2,40}%",  # %NAME%
     r"%[sd]\b",
     r"\$\([A-Za-z_]\w*\)",  # $(NAME)
@@ -63,7 +66,7 @@ PAGES = [
     r"^(?:fatal: bad object|error: could not export|error: connection to)\b.*",
     r"^(?:please )?(?:enable|turn on|activate|allow) (?:java ?scripts?|scripts)\b.*",
     r"^(?:java ?scripts?|scripts) (?:is|are|must be) (?:required|disabled|turned off|allowed)\b.*",
-    r"^(?:you need to|please) enable javascript\b.*",
+    r"^.{0,40}\b(?:need to|please) enable javascript\b.*",
     r"^javascript required\b.*",
 ]
 # Small words that ordinary sentences of these languages can hardly do without.
@@ -77,36 +80,41 @@ SMALL_WORDS = (
 _PLACE = "(?:" + "|".join(PLACEHOLDERS) + ")"
 _DIFF = r"(?:diff --git |Index: |@@ -\d)"
 _HEAD = r"(?m)^(?:commit [0-9a-f]{7,}|Author: |Tagger: |From: .*@|Date: |r\d+ \| )"
-_HEAD_LINE = r"(?m)^[ \t]*(?:commit [0-9a-f]{7,}.*|tag v?[0-9][^\n]*|(?:Author|Tagger|From|Date|AuthorDate|CommitDate|Commit|Committer|[A-Z][a-z]+(?:-[a-z]+)*-by): ?[^\n]*[@<>0-9][^\n]*|r\d+ \| [^\n]*|---|-- |\d+\.\d+\.\d+)$"
-_TAG = r"(?i)<!doctype[^<>]*>|</?(?:html|head|title|body|pre|hr|h[1-6]|p|b|br|div|noscript|a|i|li|ul|table|tr|td|span)(?:\s[^<>]*)?/?>"
+_HEAD_LINE = (
+    r"(?m)^[ \t]*(?:commit [0-9a-f]{7,}[^\n]*|tag v?[0-9][^\n]*|r\d+ \| [^\n]*|---|-- |\d+\.\d+\.\d+"
+    r"|(?:Author|Tagger|From|Commit|Committer|[A-Z][a-z]+(?:-[a-z]+)*-by): ?[^\n]*[\w.]@[\w-]+\.\w[^\n]*|(?:Date|AuthorDate|CommitDate): ?[^\n]*\d:\d[^\n]*)$"
+)
+_TAG = r"(?i)<!doctype[^<>]*>|(?<!<)</?(?:html|head|title|body|pre|hr|h[1-6]|p|b|br|div|noscript|a|i|li|ul|table|tr|td|span)(?:\s[^<>]*)?/?>(?!>)"
 
 
 @dataclass(frozen=True)
 class ResidueParameters:
     """``page_records``: whole records that a page line must make up; ``page_share``: and of all records that hold
-    it; ``few_words``: ordinary words beside a place in a unit that can't be a sentence about it;
+    it, taken 1.5 standard errors low, so that a few chance hits of a rare line don't reach it; ``few_words``: ordinary words beside a place in a unit that can't be a sentence about it;
     ``notations``: notations in one slot that make its skeleton a template."""
 
     page_records: int = 3
-    page_share: float = 0.15
+    page_share: float = 0.1
     few_words: int = 3
     notations: int = 2
 
 
-def units(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, bare, unit) for every line and sentence before the diff; ``bare`` records have neither head nor diff.
+def units(docs: DataFrame, doc: str, text: str, origin: str | None = None) -> DataFrame:
+    """(doc, same, bare, unit) for every line and sentence before the diff; ``bare`` records have neither head nor diff.
 
-    Head lines, trailers and tags are taken away. NULL and blank texts have no units.
+    ``same`` is one for records of equal text and origin: copies of one record, which must not look like a
+    repeated page. Without an origin every record stands for itself. Head lines, trailers and tags are taken away. NULL and blank texts have no units.
     """
     norm = F.regexp_replace(F.col(text), r"\r\n?", "\n")
     front = F.regexp_replace(norm, r"(?s)(?:\A|(?<=\n))" + _DIFF + ".*", "")
-    rows = docs.select(F.col(doc).alias("doc"), norm.alias("norm"), front.alias("front")).filter("norm is not null")
+    same = F.xxhash64(doc) if origin is None else F.xxhash64(origin, text)
+    rows = docs.select(F.col(doc).alias("doc"), same.alias("same"), norm.alias("norm"), front.alias("front")).filter("norm is not null")
     bare = (F.length("norm") == F.length("front")) & ~F.col("front").rlike(_HEAD)
     told = F.regexp_replace(F.regexp_replace("front", _HEAD_LINE, ""), _TAG, "\n")
     told = F.regexp_replace(told, r"(?m)^Subject: (?:\[[^\]\n]*\] ?)?", "")
     lines = F.transform(F.split(told, r"\n|(?<=[.!?。])\s+"), lambda x: F.trim(F.regexp_replace(x, r"[\t ]+", " ")))
     lines = F.array_distinct(F.filter(lines, lambda x: F.length(x) > 0))
-    return rows.select("doc", bare.alias("bare"), F.explode(lines).alias("unit"))
+    return rows.select("doc", "same", bare.alias("bare"), F.explode(lines).alias("unit"))
 
 
 def _own_signs(unit: Column) -> Column:
@@ -119,7 +127,7 @@ def _own_signs(unit: Column) -> Column:
     return fixed | unit.rlike(DEFAULTS) | same | salad
 
 
-def find_residue(docs: DataFrame, doc: str, text: str, parameters: ResidueParameters = ResidueParameters()) -> DataFrame:
+def find_residue(docs: DataFrame, doc: str, text: str, origin: str | None = None, parameters: ResidueParameters = ResidueParameters()) -> DataFrame:
     """Ids of the records that hold residue, each once, as column ``doc``.
 
     What stands in diff hunks doesn't count, nor does a sentence about placeholders, errors or notices. NULL and
@@ -127,15 +135,16 @@ def find_residue(docs: DataFrame, doc: str, text: str, parameters: ResidueParame
     all records. Rows with a NULL id are left out.
     """
     p = parameters
-    u = units(docs.filter(F.col(doc).isNotNull()), doc, text)
+    u = units(docs.filter(F.col(doc).isNotNull()), doc, text, origin)
     skeleton = F.regexp_replace("unit", _PLACE, "⟂")
     held = F.regexp_extract("unit", "(" + _PLACE + ")", 1)
     rest = F.regexp_replace(skeleton, r"[⟂\p{N}\p{P}\p{S}]+", " ")
     key = F.regexp_replace(F.regexp_replace("unit", r"\b(?=[a-f]*\d)[0-9a-f]{6,}\b", "H"), r"\d+", "0")
-    u = u.select("doc", "bare", "unit", skeleton.alias("skeleton"), F.xxhash64(key).alias("line"))
+    u = u.select("doc", "same", "bare", "unit", skeleton.alias("skeleton"), F.xxhash64(key).alias("line"))
     u = u.withColumn("has_place", F.col("skeleton") != F.col("unit"))
     u = u.select(
         "doc",
+        "same",
         "bare",
         "line",
         _own_signs(F.col("unit")).alias("own"),
@@ -150,7 +159,7 @@ def find_residue(docs: DataFrame, doc: str, text: str, parameters: ResidueParame
     notations = placed.groupBy("template", "notation").agg(F.count(F.lit(1)).alias("n")).groupBy("template").agg(F.count(F.lit(1)).alias("notations"))
     templates = notations.filter(F.col("notations") >= p.notations).select("template")
     aligned = semi_join(placed.select("doc", "template"), templates, "template").select("doc")
-    lines = u.groupBy("line").agg(F.count(F.lit(1)).alias("records"), F.count(F.when(F.col("bare"), 1)).alias("whole"))
-    page_lines = lines.filter((F.col("whole") >= p.page_records) & (F.col("whole") >= F.col("records") * p.page_share)).select("line")
+    lines = u.select("line", "same", "bare").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("records"), F.count(F.when(F.col("bare"), 1)).alias("whole"))
+    page_lines = lines.filter((F.col("whole") >= p.page_records) & (F.col("whole") - 1.5 * F.sqrt("whole") >= F.col("records") * p.page_share)).select("line")
     paged = semi_join(u.select("doc", "line"), page_lines, "line").select("doc")
     return alone.unionByName(aligned).unionByName(paged).distinct()
