@@ -23,3 +23,27 @@ def running_totals(df: DataFrame, keys: Sequence[str], block: str, order: Sequen
     carried = blocks.select(*keys, block, *[F.coalesce(F.sum(f"__{out}").over(before), F.lit(0)).alias(f"__{out}") for out in sums])
     joined = local.join(carried, [*keys, block])
     return joined.select(*df.columns, *[(F.col(out) + F.col(f"__{out}")).alias(out) for out in sums])
+
+
+def running_max(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], out: str, column: str, inclusive: bool = True) -> DataFrame:
+    """Add the running maximum of ``column`` per ``keys`` in the order ``(block, *order)``.
+
+    As in running_totals, only one block meets in a task. Not ``inclusive``: of the rows before. Rows that tie in
+    ``order`` are taken in any order, so give a full order or distinct rows where that matters.
+    """
+    upto = Window.currentRow if inclusive else -1
+    inside = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
+    before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    local = df.select("*", F.max(column).over(inside).alias(out))
+    blocks = df.groupBy(*keys, block).agg(F.max(column).alias("__max"))
+    carried = blocks.select(*keys, block, F.max("__max").over(before).alias("__max"))
+    joined = local.join(carried, [*keys, block])
+    return joined.select(*df.columns, F.greatest(out, "__max").alias(out))
+
+
+def chains(positions: DataFrame, keys: Sequence[str], pos: str, reach: int, size: int = 1 << 16) -> DataFrame:
+    """Distinct (``keys``, ``pos``) with ``chain``: a number per run of positions no more than ``reach`` apart."""
+    at = positions.select(*keys, pos).distinct().withColumn("block", F.floor(F.col(pos) / size))
+    at = running_max(at, keys, "block", [pos], "__before", pos, inclusive=False)
+    at = at.withColumn("__first", F.when(F.col("__before").isNull() | (F.col(pos) - F.col("__before") > reach), 1).otherwise(0))
+    return running_totals(at, keys, "block", [pos], {"chain": "__first"}).select(*keys, pos, "chain")
