@@ -65,11 +65,11 @@ def p1_sequence_pairs(spark: SparkSession, folder: str) -> DataFrame:
 #: SQL of the rules on fields, for oracles: numbers are compared as texts without leading zeros.
 _START_OK = "(regexp_full_match(trim(coalesce({s},''), ' '), '[0-9]+') and try_cast(trim({s}, ' ') as hugeint) between 1 and 2147483647 and not (regexp_full_match(trim(coalesce({e},''), ' '), '[0-9]+') and try_cast(trim({s}, ' ') as hugeint) > coalesce(try_cast(trim({e}, ' ') as hugeint), 170141183460469231731687303715884105727)))"
 _FRAME_OK = "regexp_full_match(trim(coalesce({f},''), ' '), '[.012]')"
-_ELEMENT_OK = f"{_USABLE.format('seqname_')} and {_START_OK.format(s='start_', e='end_')} and {_FRAME_OK.format(f='frame_')}"
+ELEMENT_OK = f"{_USABLE.format('seqname_')} and {_START_OK.format(s='start_', e='end_')} and {_FRAME_OK.format(f='frame_')}"
 
 _PERIODS = f"""
 with g as (select distinct {_KEY.format('seqname_')} as seq_key, try_cast(trim(start_, ' ') as bigint) as s, try_cast(trim(end_, ' ') as bigint) as e
-    from gff_element where {_ELEMENT_OK} and regexp_full_match(trim(coalesce(end_, ''), ' '), '[0-9]+')),
+    from gff_element where {ELEMENT_OK} and regexp_full_match(trim(coalesce(end_, ''), ' '), '[0-9]+')),
 m as (select *, max(e) over (partition by seq_key order by s, e rows between unbounded preceding and 1 preceding) as before from g),
 b as (select *, sum(case when before is null or s > before + 1 then 1 else 0 end) over (partition by seq_key order by s, e rows unbounded preceding) as n from m),
 p as (select seq_key, n, min(s) as s, max(e) as e from b group by seq_key, n),
@@ -129,7 +129,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 with {_LINES}
 select 'gff_element' as table_name, id_ as row_key, {_KEY.format('seqname_')} as seq_key, try_cast(trim(start_, ' ') as bigint) as start_pos,
     case when regexp_full_match(trim(coalesce(end_, ''), ' '), '[0-9]+') then try_cast(trim(end_, ' ') as bigint) end as end_pos, trim(frame_, ' ') as frame, feature_ as feature
-from gff_element where {_ELEMENT_OK}
+from gff_element where {ELEMENT_OK}
 union all
 select 'gtf_line', line_id, {_KEY.format('cells[1]')}, try_cast(trim(cells[4], ' ') as bigint),
     case when regexp_full_match(trim(cells[5], ' '), '[0-9]+') then try_cast(trim(cells[5], ' ') as bigint) end, trim(cells[8], ' '), cells[3]

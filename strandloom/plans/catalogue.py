@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .annotation_problems import annotation
+from .interval_queries import intervals
+from .sequence_queries import sequences
 from .registry import Registry
 
-PARTS: list[Registry] = [annotation]
+PARTS: list[Registry] = [annotation, sequences, intervals]
 
 
 def queries() -> dict:
