@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from .annotation_problems import annotation
+from .compare_queries import comparison
 from .interval_queries import intervals
 from .sequence_queries import sequences
 from .registry import Registry
 
-PARTS: list[Registry] = [annotation, sequences, intervals]
+PARTS: list[Registry] = [annotation, sequences, intervals, comparison]
 
 
 def queries() -> dict:
