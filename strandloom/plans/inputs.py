@@ -80,3 +80,47 @@ def alignments(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("l_orderkey") % 1000).alias("cand_id"), F.col("l_orderkey").alias("read_id"), s.alias("s"), (s + 40 + q).alias("e"), (41 + q).alias("aln"),
         F.col("l_discount").alias("gap"), (1 - F.col("l_tax") / 4).alias("ident"), F.col("l_partkey").alias("ord"), F.col("l_suppkey").alias("ord2"),
     )
+
+
+#: Genome out of k-mers that occur once, 128 ids to a chromosome.
+GENOME = """rare as (select upper(strseq) as kmer, min(iid) as iid from st_kmerinfo where regexp_full_match(strseq, '[ACGTacgt]{15}') group by 1 having count(*) = 1),
+genome as (select iid // 128 as chrom, string_agg(kmer, '' order by iid) as seq from rare group by 1)"""
+GEXONS = f"""{GENOME}, gexons as (select chrom, chrom as gene_id, 0 as tx_id, j as exon_no, cast(41 + 280 * j as bigint) as start_pos, cast(41 + 280 * j + 129 + (chrom * 7 + j * 13) % 100 as bigint) as end_pos,
+    case when chrom % 2 = 0 then '+' else '-' end as strand, substring(seq, cast(41 + 280 * j as bigint), cast(130 + (chrom * 7 + j * 13) % 100 as bigint)) as seq
+    from genome, unnest([0, 1, 2]) as t(j) where length(seq) >= 41 + 280 * j + 240)"""
+
+
+def genome(spark: SparkSession, folder: str) -> DataFrame:
+    """(chrom, seq) out of k-mers that occur once."""
+    k = table(spark, folder, "st_kmerinfo").select("iid", F.upper("strseq").alias("kmer")).filter(F.col("kmer").rlike(r"\A[ACGT]{15}\z"))
+    rare = k.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), F.min("iid").alias("iid")).filter("n = 1")
+    parts = rare.groupBy(F.floor(F.col("iid") / 128).alias("chrom")).agg(F.array_sort(F.collect_list(F.struct("iid", "kmer"))).alias("p"))
+    return parts.select("chrom", F.array_join(F.transform("p", lambda x: x["kmer"]), "").alias("seq"))
+
+
+def genome_exons(spark: SparkSession, folder: str) -> DataFrame:
+    """Up to three exons per chromosome of that genome, both signals taken as there."""
+    g = genome(spark, folder).select("chrom", "seq", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("exon_no"))
+    g = g.filter(F.length("seq") >= 41 + 280 * F.col("exon_no") + 240)
+    start, size = 41 + 280 * F.col("exon_no"), 130 + (F.col("chrom") * 7 + F.col("exon_no") * 13) % 100
+    return g.select(
+        "chrom", F.col("chrom").alias("gene_id"), F.lit(0).alias("tx_id"), "exon_no", start.cast("bigint").alias("start_pos"), (start + size - 1).cast("bigint").alias("end_pos"),
+        F.when(F.col("chrom") % 2 == 0, "+").otherwise("-").alias("strand"), F.substr("seq", start, size.cast("int")).alias("seq"), F.lit(True).alias("head_signal"), F.lit(True).alias("tail_signal"),
+    )
+
+
+def planted(exons_: DataFrame, read_length: int = 101) -> tuple[DataFrame, DataFrame]:
+    """Reads over planted back-splices of those exons, and the junctions: every exon onto itself, and the later
+    of two exons (in reading direction) onto the one two before it."""
+    e = exons_.select("chrom", "exon_no", "start_pos", "end_pos", "strand", "seq")
+    selfs = e.filter(F.col("exon_no") == 1).select("chrom", F.lit("S").alias("circ_type"), "end_pos", "start_pos", F.col("seq").alias("d"), F.col("seq").alias("a"))
+    plus = F.col("strand") == "+"
+    end = e.filter(F.when(plus, F.col("exon_no") == 2).otherwise(F.col("exon_no") == 0)).select("chrom", "end_pos", F.col("seq").alias("d"))
+    begin = e.filter(F.when(plus, F.col("exon_no") == 0).otherwise(F.col("exon_no") == 2)).select("chrom", "start_pos", F.col("seq").alias("a"))
+    pairs = end.join(begin, "chrom").select("chrom", F.lit("R").alias("circ_type"), "end_pos", "start_pos", "d", "a")
+    j = selfs.unionByName(pairs).filter((F.col("chrom") % 3 == 0) == (F.col("circ_type") == "S"))
+    cut = j.select("*", F.explode(F.array(F.lit(46), F.lit(50), F.lit(55))).alias("left"))
+    seq = F.concat(F.right("d", F.col("left")), F.left("a", read_length - F.col("left")))
+    reads = cut.select((F.col("chrom") * 1000 + F.col("left") + F.when(F.col("circ_type") == "S", 500).otherwise(0)).alias("read_id"), seq.alias("seq"))
+    truth = j.select("chrom", "circ_type", F.least("start_pos", "end_pos").alias("start_pos"), F.greatest("start_pos", "end_pos").alias("end_pos"))
+    return reads, truth
