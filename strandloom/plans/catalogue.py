@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from .annotation_problems import annotation
+from .classify_queries import classification
 from .compare_queries import comparison
 from .detect_queries import detection
 from .interval_queries import intervals
 from .sequence_queries import sequences
 from .registry import Registry
 
-PARTS: list[Registry] = [annotation, sequences, intervals, comparison, detection]
+PARTS: list[Registry] = [annotation, sequences, intervals, comparison, detection, classification]
 
 
 def queries() -> dict:
