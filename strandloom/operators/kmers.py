@@ -17,13 +17,11 @@ def kmers(seqs: DataFrame, seq: str, k: int, keep: tuple[str, ...] = (), positio
     Sequences are first cut into chunks overlapping by k - 1. NULL and short sequences give none. With
     ``positions`` there is ``pos`` (BIGINT, from 0) too.
     """
-    n = F.length(seq)
-    rows = seqs.select(*keep, F.upper(seq).alias("s")).filter(F.length("s") >= k)
-    n = F.length("s")
-    chunks = rows.select(*keep, "s", F.explode(F.sequence(F.lit(0), n - k, F.lit(CHUNK))).alias("at"))
-    chunks = chunks.select(*keep, "at", F.substr("s", F.col("at") + 1, F.lit(CHUNK + k - 1)).alias("c"))
-    cut = chunks.select(*keep, "at", "c", F.explode(F.sequence(F.lit(0), F.length("c") - k)).alias("i"))
-    cut = cut.select(*keep, (F.col("at") + F.col("i")).cast("bigint").alias("pos"), F.substr("c", F.col("i") + 1, F.lit(k)).alias("kmer"))
+    rows = seqs.select(*keep, F.upper(seq).alias("__s")).filter(F.length("__s") >= k)
+    chunks = rows.select(*keep, "__s", F.explode(F.sequence(F.lit(0), F.length("__s") - k, F.lit(CHUNK))).alias("__at"))
+    chunks = chunks.select(*keep, "__at", F.substr("__s", F.col("__at") + 1, F.lit(CHUNK + k - 1)).alias("__c"))
+    cut = chunks.select(*keep, "__at", "__c", F.explode(F.sequence(F.lit(0), F.length("__c") - k)).alias("__i"))
+    cut = cut.select(*keep, (F.col("__at") + F.col("__i")).cast("bigint").alias("pos"), F.substr("__c", F.col("__i") + 1, F.lit(k)).alias("kmer"))
     cut = cut.filter(~F.col("kmer").rlike("[^ACGT]"))
     return cut if positions else cut.drop("pos")
 

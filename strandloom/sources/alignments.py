@@ -48,5 +48,5 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
             rows = [(f, *r) for f, t in zip(batch["file"], batch["value"]) for r in parse_report(t)]
             yield pd.DataFrame(rows, columns=["file", *names])
 
-    reports = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    reports = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return reports.mapInPandas(run, "file string, " + SCHEMA)
