@@ -43,7 +43,7 @@ def _segments(knots: Sequence[tuple[float, float]]) -> list[tuple[float, float,
     out, y = [], 0.0
     for (t0, w0), (t1, w1) in zip(knots, knots[1:]):
         if t1 > t0 and w0 + w1 > 0:
-            out.append((y, t0, t1 - t0, w0 / area, (w1 - w0) / (t1 - t0) / area))
+            out.append(tuple(map(float, (y, t0, t1 - t0, w0 / area, (w1 - w0) / (t1 - t0) / area))))
             y += (w0 + w1) / 2 * (t1 - t0) / area
     return out
 
