@@ -120,24 +120,33 @@ def purified(cands: DataFrame, voted: DataFrame, links: DataFrame, exons: DataFr
 
 def verified(cands: DataFrame, voted: DataFrame, links: DataFrame, k: int) -> DataFrame:
     """Candidates whose read runs through the donor's end into the acceptor's start."""
-    node = F.struct("kmer", "pre_kmer", "next_kmer", "tag")
-    per_exon = links.groupBy(*EXON).agg(F.collect_list(node).alias("nodes"))  # at most twice the reach of a read
-    d = per_exon.select("chrom", "gene_id", "tx_id", F.col("exon_no").alias("donor"), F.col("nodes").alias("d_nodes"))
-    a = per_exon.select("chrom", "gene_id", "tx_id", F.col("exon_no").alias("acceptor"), F.col("nodes").alias("a_nodes"))
+    # an exon's nodes in order as three texts: k-mers end to end, their tags, their segments; at most twice the
+    # reach of a read
+    nodes = F.array_sort(F.collect_list(F.struct("segment", "pos", "kmer", "tag")))
+    per_exon = links.groupBy(*EXON).agg(nodes.alias("n"))
+    text = lambda c: F.array_join(F.transform("n", lambda x: x[c].cast("string")), "")
+    per_exon = per_exon.select(*EXON, F.struct(text("kmer").alias("kmers"), text("tag").alias("tags"), text("segment").alias("segments")).alias("nodes"))
+    d = per_exon.select("chrom", "gene_id", "tx_id", F.col("exon_no").alias("donor"), *[F.col(f"nodes.{c}").alias(f"d_{c}") for c in ("kmers", "tags", "segments")])
+    a = per_exon.select("chrom", "gene_id", "tx_id", F.col("exon_no").alias("acceptor"), *[F.col(f"nodes.{c}").alias(f"a_{c}") for c in ("kmers", "tags", "segments")])
     key = ["chrom", "gene_id", "tx_id"]
     rows = cands.filter("circ_type = 'R' or signal").join(voted.select("read_id", "chrom", "seq"), ["read_id", "chrom"]).join(d, [*key, "donor"]).join(a, [*key, "acceptor"])
-    kept = [c for c in rows.columns if c not in ("seq", "d_nodes", "a_nodes")]
+    texts = [f"{side}_{c}" for side in "da" for c in ("kmers", "tags", "segments")]
+    kept = [c for c in rows.columns if c not in ("seq", *texts)]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in kept)
 
-    def links_of(nodes) -> dict:
-        out: dict = {}
-        for x in nodes:
-            out.setdefault(x["kmer"], []).append((x["pre_kmer"], x["next_kmer"], x["tag"]))
+    def links_of(kmers: str, tags: str, segments: str) -> dict[str, list]:
+        """Per k-mer the nodes it has on the exon: (before, after, tag)."""
+        at = [kmers[i : i + k] for i in range(0, len(kmers), k)]
+        out: dict[str, list] = {}
+        for i, x in enumerate(at):
+            before = at[i - 1] if i and segments[i - 1] == segments[i] else None
+            after = at[i + 1] if i + 1 < len(at) and segments[i + 1] == segments[i] else None
+            out.setdefault(x, []).append((before, after, tags[i]))
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            good = [supports(s, links_of(dn), links_of(an), t == "S", k) for s, dn, an, t in zip(b["seq"], b["d_nodes"], b["a_nodes"], b["circ_type"])]
+            good = [supports(s, links_of(*x[:3]), links_of(*x[3:]), t == "S", k) for s, t, *x in zip(b["seq"], b["circ_type"], *[b[c] for c in texts])]
             yield b.loc[good, kept]
 
     return rows.select(*rows.columns).mapInPandas(run, schema)

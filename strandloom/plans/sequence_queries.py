@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import seq as S
 from ..functions import text as X
 from ..operators import kmers as K
-from ..session import table
+from ..session import spread, table
 from . import inputs
 from .registry import Registry
 
@@ -53,14 +53,14 @@ _WINDOWS = f"{inputs.SEQS}, w as (select doc_id, i as pos, substring(seq, cast(i
 @sequences.add(f"with {_WINDOWS} select doc_id, cast(count(*) as bigint) as windows, cast(count(distinct kmer) as bigint) as kmers, cast(max(pos) as bigint) as last_pos from w group by doc_id")
 def kmer_extract(spark: SparkSession, folder: str) -> DataFrame:
     """Windows and distinct k-mers of every sequence."""
-    k = K.kmers(inputs.seqs(spark, folder), "seq", K_LEN, ("doc_id",), positions=True)
+    k = K.kmers(spread(inputs.seqs(spark, folder)), "seq", K_LEN, ("doc_id",), positions=True)
     return k.groupBy("doc_id").agg(F.count(F.lit(1)).alias("windows"), F.countDistinct("kmer").alias("kmers"), F.max("pos").alias("last_pos"))
 
 
 @sequences.add(f"with {_WINDOWS}, c as (select kmer, cast(count(*) as bigint) as n from w group by kmer having count(*) > 50) select {_CODE.format('kmer')} as code, n from c")
 def kmer_count(spark: SparkSession, folder: str) -> DataFrame:
     """k-mers of all sequences that occur more than 50 times, by code."""
-    return K.kmer_counts(K.kmers(inputs.seqs(spark, folder), "seq", K_LEN), "kmer").filter("n > 50")
+    return K.kmer_counts(K.kmers(spread(inputs.seqs(spark, folder)), "seq", K_LEN), "kmer").filter("n > 50")
 
 
 _CANON = f"{_KM}, d as (select kmer, sum(n) as n from k group by kmer), c as (select least({_CODE.format('kmer')}, {_CODE.format(_RC.format('kmer'))}) as code, cast(sum(n) as bigint) as n from d group by 1)"
