@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +15,8 @@ from pyspark.sql import functions as F
 SEED = 20240229
 #: Counters that travel together as one array.
 CHUNK = 1024
+#: Chunks that are added up in one group, and teams of tasks whose sketches are added up first.
+BLOCK, TEAMS = 16, 256
 #: Rows that a task hashes at once.
 BUFFER = 1 << 18
 
@@ -86,13 +87,17 @@ def _partial_sketches(shape: SketchShape):
         cells = pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1, dtype=np.int32) * CHUNK), pa.array(flat[used].reshape(-1)))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), cells], names=["chunk", "cells"])
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([[total]], pa.list_(pa.int64()))], names=["chunk", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([[total, *[0] * (CHUNK - 1)]], pa.list_(pa.int64()))], names=["chunk", "cells"])
 
     return run
 
 
-def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "cells": [np.sum(np.stack(pdf["cells"].to_list()), axis=0)]})
+def _add_up(table: pa.Table) -> pa.Table:
+    chunks, back = np.unique(table["chunk"].to_numpy(), return_inverse=True)
+    added = np.zeros((len(chunks), CHUNK), dtype=np.int64)
+    np.add.at(added, back, table["cells"].combine_chunks().flatten().to_numpy().reshape(-1, CHUNK))
+    cells = pa.ListArray.from_arrays(pa.array(np.arange(len(chunks) + 1, dtype=np.int32) * CHUNK), pa.array(added.reshape(-1)))
+    return pa.table({"chunk": pa.array(chunks), "cells": cells})
 
 
 @dataclass(frozen=True)
@@ -134,9 +139,10 @@ def build_sketch(items: DataFrame, shape: SketchShape) -> Sketch:
     the first by groups of tasks, so that no task meets the sketches of all others at once.
     """
     parts = items.mapInArrow(_partial_sketches(shape), "chunk int, cells array<bigint>")
-    parts = parts.withColumn("team", F.pmod(F.spark_partition_id(), F.lit(64)))
-    teams = parts.groupBy("chunk", "team").applyInPandas(_add_up, "chunk int, cells array<bigint>")
-    added = teams.groupBy("chunk").applyInPandas(_add_up, "chunk int, cells array<bigint>")
+    parts = parts.withColumn("team", F.pmod(F.spark_partition_id(), F.lit(TEAMS))).withColumn("block", F.floor(F.col("chunk") / BLOCK))
+    teams = parts.groupBy("block", "team").applyInArrow(_add_up, "chunk int, cells array<bigint>")
+    teams = teams.withColumn("block", F.floor(F.col("chunk") / BLOCK))
+    added = teams.groupBy("block").applyInArrow(_add_up, "chunk int, cells array<bigint>")
     counters = np.zeros((len(shape.levels), shape.depth, shape.width), dtype=np.int64)
     flat, total = counters.reshape(-1, CHUNK), 0
     for chunk, cells in added.toLocalIterator():
