@@ -40,10 +40,12 @@ def eager_join_aggregate(
     (per-side sums), ``joined_left_sum_<c>``, ``joined_right_sum_<c>`` (over joined rows) and
     ``joined_product_<a>_<b>``. Rows with a NULL key join nothing and are left out; NULL values count as rows
     and add nothing; a key that only one side has gets zeros for the other (``how`` = left or inner or full).
-    An empty side gives an empty or all-zero result. Only the named columns are read, so further columns of
+    An empty side gives an empty or all-zero result; keys named as a result column raise ValueError. Only the named columns are read, so further columns of
     the same names on both sides don't matter.
     """
     roll_up = list(keys if roll_up is None else roll_up)
+    if clash := {"n_left", "n_right", "pairs", "total"} & {*keys}:
+        raise ValueError(f"rename the keys {sorted(clash)}: the result has columns of these names")
     a = _state(left, keys, left_sums, "n_left", "left_")
     b = _state(right, keys, right_sums, "n_right", "right_")
     states = a.join(b, list(keys), how)

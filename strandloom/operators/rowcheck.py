@@ -133,12 +133,13 @@ GFF_COLUMNS = ("seqname_", "source_", "feature_", "start_", "end_", "score_", "s
 
 
 def check_elements(df: DataFrame) -> DataFrame:
-    """gff_element rows with ``reasons``. Any field may be NULL, which breaks the rule of a checked one."""
+    """gff_element rows with ``reasons`` (a column of that name is replaced). Any field may be NULL, which breaks the
+    rule of a checked one; an empty table gives an empty result; repeated rows are each checked."""
     return df.withColumn("reasons", annotation_reasons([F.col(c) for c in GFF_COLUMNS]))
 
 
 def check_lines(df: DataFrame, line: str = "line") -> DataFrame:
-    """Raw annotation lines with their ``cells`` and ``reasons``.
+    """Raw annotation lines with their ``cells`` and ``reasons`` (columns of these names are replaced).
 
     Lines that are NULL, empty or begin with ``#`` are no rows and are left out. A line without nine columns
     has the sole reason column_count. An empty table gives an empty result.
