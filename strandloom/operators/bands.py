@@ -44,7 +44,8 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, left_ends: tuple[
     """Rows with equal ``key`` whose closed intervals overlap and that meet ``condition``.
 
     Both sides go to every bin they touch; a pair comes out in the bin where the later of the two begins, so
-    only once. Column names of both sides must differ but for ``key``.
+    only once. Column names of both sides must differ but for ``key``. An interval costs a row per ``bin_size``
+    positions it spans, so choose it by the usual length.
     """
     def binned(df: DataFrame, ends: tuple[str, str]) -> DataFrame:
         s, e = F.floor(F.col(ends[0]) / bin_size), F.floor(F.col(ends[1]) / bin_size)

@@ -62,10 +62,10 @@ def calls(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def elements(spark: SparkSession, folder: str) -> DataFrame:
-    """Good annotation records with usable bounds, typed."""
+    """Good annotation records with bounds that are positions (up to 2^31 - 1), typed."""
     rows = check_elements(table(spark, folder, "gff_element").select("id_", *GFF_COLUMNS)).filter(F.size("reasons") == 0)
     rows = rows.select(F.col("id_").alias("id"), sequence_key(F.col("seqname_")).alias("chrom"), whole_number(F.col("start_")).alias("start_pos"), whole_number(F.col("end_")).alias("end_pos"), F.trim("strand_").alias("strand"), F.trim("feature_").alias("feature"))
-    return rows.filter("end_pos is not null")
+    return rows.filter("end_pos <= 2147483647")
 
 
 ALIGNMENTS = """alignments as (select l_orderkey % 1000 as cand_id, l_orderkey as read_id, l_partkey % 60 as s, l_partkey % 60 + 40 + cast(floor(l_quantity) as bigint) * 2 as e,

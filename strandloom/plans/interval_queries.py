@@ -18,7 +18,7 @@ intervals = Registry()
 TX = ["chrom", "tx_id"]
 
 _ELEMENTS = f"""elements as (select id_ as id, {inputs.KEY.format('seqname_')} as chrom, try_cast(trim(start_, ' ') as bigint) as start_pos, try_cast(trim(end_, ' ') as bigint) as end_pos,
-    trim(strand_, ' ') as strand, trim(feature_, ' ') as feature from gff_element where {ELEMENT_OK} and regexp_full_match(trim(coalesce(end_, ''), ' '), '[0-9]+'))"""
+    trim(strand_, ' ') as strand, trim(feature_, ' ') as feature from gff_element where {ELEMENT_OK} and regexp_full_match(trim(coalesce(end_, ''), ' '), '[0-9]+') and try_cast(trim(end_, ' ') as bigint) <= 2147483647)"""
 _RANGES = f"{_ELEMENTS}, ranges as (select distinct chrom, start_pos, end_pos from elements where feature = 'exon')"
 
 
