@@ -69,6 +69,26 @@ PAGES = [
     r"^.{0,40}\b(?:need to|please) enable javascript\b.*",
     r"^javascript required\b.*",
 ]
+# Titles of such pages, alone in a unit or before a sentence that begins with a capital.
+TITLES = [
+    "page not found", "access denied", "session expired", "gateway timeout", "bad gateway", "service unavailable", "internal server error",
+    "repository unavailable", "unsupported browser", "checking your browser", "one more step", "verify that you are human", "loading",
+    "something went wrong", "oops", "we can't show this right now", "your browser has scripting turned off", "this app needs js", "javascript required",
+    "página no encontrada", "acceso denegado", "se necesita javascript", "error interno del servidor", "página não encontrada", "acesso negado",
+    "seite nicht gefunden", "zugriff verweigert", "interner serverfehler", "javascript ist ausgeschaltet", "page introuvable", "accès refusé",
+    "erreur interne du serveur", "javascript requis", "页面不存在", "拒绝访问", "请启用 javascript", "ページが見つかりません", "アクセスが拒否されました", "javascript を有効にしてください",
+]
+# Sentences of such pages, and filler, as whole units.
+SENTENCES = [
+    r"^if nothing appears, allow scripts\b.*",
+    r"^diff not rendered\b.*",
+    r"^the diff took too long\b.*",
+    r"^- item \w+$",
+    r"^(?:filler words only|some words to fill)\b.*",
+    r"^(?:este es un|ceci est un) (?:texto de relleno|faux texte)\b.*",
+    r"^(?:active los scripts|activez javascript|bitte aktivieren sie javascript|ative o javascript)\b.*",
+]
+
 # Small words that ordinary sentences of these languages can hardly do without.
 SMALL_WORDS = (
     "a an the and or of to in on at for from by with without is are was were be been has have had that this it its not no if when while as "
@@ -119,12 +139,13 @@ def units(docs: DataFrame, doc: str, text: str, origin: str | None = None) -> Da
 
 def _own_signs(unit: Column) -> Column:
     """Residue that a unit shows by itself: instructions, defaults after a label, pages, filler."""
-    fixed = F.lower(unit).rlike("|".join(f"(?:{p})" for p in INSTRUCTIONS + PAGES))
+    fixed = F.lower(unit).rlike("|".join(f"(?:{p})" for p in INSTRUCTIONS + PAGES + SENTENCES))
+    titled = unit.rlike("^(?:[45]\\d\\d )?(?i:" + "|".join(TITLES) + r")[.!…]*(?:$|\s+\p{Lu}.*[.!]$)")
     words = F.split(F.regexp_replace(F.lower(unit), r"[.,!?:;]+", ""), " +")
     same = (F.size(words) >= 3) & (F.size(F.array_distinct(words)) == 1) & F.lower(unit).rlike(r"^\p{L}")
     small = F.array(*[F.lit(w) for w in SMALL_WORDS])
     salad = unit.rlike(r"^[\p{L} ,]+\.?$") & (F.size(words) >= 5) & ~F.arrays_overlap(words, small)
-    return fixed | unit.rlike(DEFAULTS) | same | salad
+    return fixed | titled | unit.rlike(DEFAULTS) | same | salad
 
 
 def find_residue(docs: DataFrame, doc: str, text: str, origin: str | None = None, parameters: ResidueParameters = ResidueParameters()) -> DataFrame:
