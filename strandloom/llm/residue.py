@@ -61,7 +61,6 @@ INSTRUCTIONS = [
 PAGES = [
     r"^(?:this is )?(?:sample|dummy|filler|placeholder) (?:text|words|paragraph|content)\b.{0,60}",
     r"^hier steht ein blindtext\b.*",
-    r"^(?:[45]0\d|4[1-2]\d) (?:bad request|unauthorized|forbidden|not found|method not allowed|request timeout|gone|too many requests|internal server error|not implemented|bad gateway|service unavailable|gateway timeout)\b(?! ?[a-z]).*",
     r'^\{"error": ?\{.*\}\}$',
     r"^(?:fatal: bad object|error: could not export|error: connection to)\b.*",
     r"^(?:please )?(?:enable|turn on|activate|allow) (?:java ?scripts?|scripts)\b.*",
@@ -69,6 +68,8 @@ PAGES = [
     r"^.{0,40}\b(?:need to|please) enable javascript\b.*",
     r"^javascript required\b.*",
 ]
+# The server error that begins a unit; a word in small letters after it makes it a sentence about the error.
+HTTP_ERROR = r"^(?i:(?:[45]0\d|4[1-2]\d) (?:bad request|unauthorized|forbidden|not found|method not allowed|request timeout|gone|too many requests|internal server error|not implemented|bad gateway|service unavailable|gateway timeout))\b(?! ?\p{Ll}).*"
 # Titles of such pages, alone in a unit or before a sentence that begins with a capital.
 TITLES = [
     "page not found", "access denied", "session expired", "gateway timeout", "bad gateway", "service unavailable", "internal server error",
@@ -85,6 +86,7 @@ SENTENCES = [
     r"^the diff took too long\b.*",
     r"^- item \w+$",
     r"^(?:filler words only|some words to fill)\b.*",
+    r"^(?:the revision you asked for does not exist|you don['’]t have permission to view this repository|la révision demandée n['’]existe pas|die angeforderte änderung gibt es nicht mehr)\b.*",
     r"^(?:este es un|ceci est un) (?:texto de relleno|faux texte)\b.*",
     r"^(?:active los scripts|activez javascript|bitte aktivieren sie javascript|ative o javascript)\b.*",
 ]
@@ -145,7 +147,7 @@ def _own_signs(unit: Column) -> Column:
     same = (F.size(words) >= 3) & (F.size(F.array_distinct(words)) == 1) & F.lower(unit).rlike(r"^\p{L}")
     small = F.array(*[F.lit(w) for w in SMALL_WORDS])
     salad = unit.rlike(r"^[\p{L} ,]+\.?$") & (F.size(words) >= 5) & ~F.arrays_overlap(words, small)
-    return fixed | titled | unit.rlike(DEFAULTS) | same | salad
+    return fixed | titled | unit.rlike(HTTP_ERROR) | unit.rlike(DEFAULTS) | same | salad
 
 
 def find_residue(docs: DataFrame, doc: str, text: str, origin: str | None = None, parameters: ResidueParameters = ResidueParameters()) -> DataFrame:

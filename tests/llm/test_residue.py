@@ -79,3 +79,8 @@ def test_edges(spark):
     df = spark.createDataFrame([(None, "    ${title}\n"), (1, "    ${title}\n"), (1, "    ${title}\n")], "doc int, text string")
     assert [r["doc"] for r in find_residue(df, "doc", "text").collect()] == [1]
     assert find_residue(df.limit(0), "doc", "text").count() == 0
+
+
+def test_one_line_pages_that_occur_once(spark):
+    pages = ["403 Forbidden You don't have permission to view this repository.", "404 not found The log of this place is gone.", "La révision demandée n'existe pas."]
+    assert found(spark, [*pages, HEAD + "    404 Not Found is sent for unknown heads\n" + DIFF]) == {0, 1, 2}
