@@ -84,13 +84,13 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 @QUERIES.add()
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records with template residue, filler, error pages or script notices in place of their content."""
-    return find_residue(table(spark, folder, "documents"), "doc_id", "text", "repo").withColumnRenamed("doc", "doc_id")
+    return find_residue(table(spark, folder, "documents"), "doc_id", "text", "repo", marks=["author", "committed_at"]).withColumnRenamed("doc", "doc_id")
 
 
 @QUERIES.add()
 def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
     """The documents without them."""
     docs = table(spark, folder, "documents")
-    found = find_residue(docs, "doc_id", "text", "repo").withColumnRenamed("doc", "doc_id")
+    found = find_residue(docs, "doc_id", "text", "repo", marks=["author", "committed_at"]).withColumnRenamed("doc", "doc_id")
     kept = semi_join(docs.select("doc_id", "repo", "source", "n_chars"), found, "doc_id", anti=True)
     return kept

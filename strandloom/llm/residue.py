@@ -12,6 +12,7 @@ are aligned by their skeleton, and two things are induced from all records:
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -121,17 +122,21 @@ class ResidueParameters:
     notations: int = 2
 
 
-def units(docs: DataFrame, doc: str, text: str, origin: str | None = None) -> DataFrame:
+def units(docs: DataFrame, doc: str, text: str, origin: str | None = None, marks: Sequence[str] = ()) -> DataFrame:
     """(doc, same, bare, unit) for every line and sentence before the diff; ``bare`` records have neither head nor diff.
 
     ``same`` is one for records of equal text and origin: copies of one record, which must not look like a
-    repeated page. Without an origin every record stands for itself. Head lines, trailers and tags are taken away. NULL and blank texts have no units.
+    repeated page. A bare text doesn't tell copies from a repeated page: with ``marks`` (columns such as author and time),
+    bare records are copies only if they agree in these too; where all of them are NULL each stands for itself. Without an origin every record stands for itself. Head lines, trailers and tags are taken away. NULL and blank texts have no units.
     """
     norm = F.regexp_replace(F.col(text), r"\r\n?", "\n")
     front = F.regexp_replace(norm, r"(?s)(?:\A|(?<=\n))" + _DIFF + ".*", "")
     same = F.xxhash64(doc) if origin is None else F.xxhash64(origin, text)
-    rows = docs.select(F.col(doc).alias("doc"), same.alias("same"), norm.alias("norm"), front.alias("front")).filter("norm is not null")
+    unmarked = F.when(F.coalesce(*[F.col(m).cast("string") for m in marks]).isNull(), F.col(doc)) if marks else None
+    bare_same = F.xxhash64(origin, text, *marks, unmarked) if origin is not None and marks else same
+    rows = docs.select(F.col(doc).alias("doc"), same.alias("same"), bare_same.alias("bare_same"), norm.alias("norm"), front.alias("front")).filter("norm is not null")
     bare = (F.length("norm") == F.length("front")) & ~F.col("front").rlike(_HEAD)
+    rows = rows.withColumn("same", F.when(bare, F.col("bare_same")).otherwise(F.col("same")))
     told = F.regexp_replace(F.regexp_replace("front", _HEAD_LINE, ""), _TAG, "\n")
     told = F.regexp_replace(told, r"(?m)^Subject: (?:\[[^\]\n]*\] ?)?", "")
     lines = F.transform(F.split(told, r"\n|(?<=[.!?。])\s+"), lambda x: F.trim(F.regexp_replace(x, r"[\t ]+", " ")))
@@ -150,15 +155,15 @@ def _own_signs(unit: Column) -> Column:
     return fixed | titled | unit.rlike(HTTP_ERROR) | unit.rlike(DEFAULTS) | same | salad
 
 
-def find_residue(docs: DataFrame, doc: str, text: str, origin: str | None = None, parameters: ResidueParameters = ResidueParameters()) -> DataFrame:
+def find_residue(docs: DataFrame, doc: str, text: str, origin: str | None = None, parameters: ResidueParameters = ResidueParameters(), marks: Sequence[str] = ()) -> DataFrame:
     """Ids of the records that hold residue, each once, as column ``doc``.
 
     What stands in diff hunks doesn't count, nor does a sentence about placeholders, errors or notices. NULL and
     blank texts are no cases; equal records share their fate; an empty table gives no rows. Statistics are over
-    all records. Rows with a NULL id are left out.
+    all records. Rows with a NULL id are left out. ``origin`` and ``marks`` tell copies of a record from repeated pages (see ``units``).
     """
     p = parameters
-    u = units(docs.filter(F.col(doc).isNotNull()), doc, text, origin)
+    u = units(docs.filter(F.col(doc).isNotNull()), doc, text, origin, marks)
     skeleton = F.regexp_replace("unit", _PLACE, "⟂")
     held = F.regexp_extract("unit", "(" + _PLACE + ")", 1)
     rest = F.regexp_replace(skeleton, r"[⟂\p{N}\p{P}\p{S}]+", " ")

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom.llm.residue import find_residue
 
@@ -84,3 +85,11 @@ def test_edges(spark):
 def test_one_line_pages_that_occur_once(spark):
     pages = ["403 Forbidden You don't have permission to view this repository.", "404 not found The log of this place is gone.", "La révision demandée n'existe pas."]
     assert found(spark, [*pages, HEAD + "    404 Not Found is sent for unknown heads\n" + DIFF]) == {0, 1, 2}
+
+
+def test_pages_repeated_within_one_origin(spark):
+    page = "Nothing to be seen in this place today\n"
+    df = spark.createDataFrame([(i, page, "r", f"t{i}") for i in range(9)] + [(9, page, "r", None)], "doc int, text string, repo string, time string")
+    assert find_residue(df, "doc", "text", "repo", marks=["time"]).count() == 10
+    # copies of one commit stay one record
+    assert find_residue(df.withColumn("time", F.lit("t")), "doc", "text", "repo", marks=["time"]).count() == 0
