@@ -166,7 +166,8 @@ def find_residue(docs: DataFrame, doc: str, text: str, origin: str | None = None
     u = units(docs.filter(F.col(doc).isNotNull()), doc, text, origin, marks)
     skeleton = F.regexp_replace("unit", _PLACE, "⟂")
     held = F.regexp_extract("unit", "(" + _PLACE + ")", 1)
-    rest = F.regexp_replace(skeleton, r"[⟂\p{N}\p{P}\p{S}]+", " ")
+    # an identifier is one word
+    rest = F.regexp_replace(F.regexp_replace(skeleton, r"(?<=[\p{L}\p{N}])[_./-]+(?=[\p{L}\p{N}])", ""), r"[⟂\p{N}\p{P}\p{S}]+", " ")
     key = F.regexp_replace(F.regexp_replace("unit", r"\b(?=[a-f]*\d)[0-9a-f]{6,}\b", "H"), r"\d+", "0")
     u = u.select("doc", "same", "bare", "unit", skeleton.alias("skeleton"), F.xxhash64(key).alias("line"))
     u = u.withColumn("has_place", F.col("skeleton") != F.col("unit"))

@@ -93,3 +93,7 @@ def test_pages_repeated_within_one_origin(spark):
     assert find_residue(df, "doc", "text", "repo", marks=["time"]).count() == 10
     # copies of one commit stay one record
     assert find_residue(df.withColumn("time", F.lit("t")), "doc", "text", "repo", marks=["time"]).count() == 0
+
+
+def test_identifiers_are_one_word(spark):
+    assert found(spark, [HEAD + "    Release @@VERSION@@ of footer_checkpoint\n" + DIFF]) == {0}
