@@ -48,6 +48,15 @@ PLACEHOLDERS = [
 ]
 # What a tool prints for a variable without a value, after a label.
 DEFAULTS = r"(?i)^[\p{L}][\p{L} _-]{0,30}\s*[:：]\s*(?:undefined|null|none|nan|nil|n/a|tbd|todo|\[object Object\]|-+|\?+|_+|\.{3}|…)$"
+# What such values look like where a slot is known from its fillings: any letters between signs that
+# aren't quotes or brackets of prose, a name in capitals, a default, a blank.
+UNFILLED = [
+    r"⟂",
+    r"[^\p{L}\p{N}\s\"'`«»„“”‘’「」『』()\[\]<>*_.,:;/\\\\#!?+-]{1,3}[\p{L}][\p{L}\p{N}_.-]*[^\p{L}\p{N}\s\"'`«»„“”‘’「」『』()\[\]<>*_.,:;/\\\\#!?+-]{1,3}",
+    r"[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+",
+    r"undefined|null|None|NaN|nil|N/A|TBD|TODO",
+    r"_{2,}|\.{3}|…|\?{2,}|-{3,}|\[\]|\{\}|<>",
+]
 # Left-over instructions of a message template, as whole units.
 INSTRUCTIONS = [
     r"^#\s*(?:please (?:write|enter)|lines starting with)\b.*",
@@ -114,12 +123,14 @@ _TAG = r"(?i)<!doctype[^<>]*>|(?<!<)</?(?:html|head|title|body|pre|hr|h[1-6]|p|b
 class ResidueParameters:
     """``page_records``: whole records that a page line must make up; ``page_share``: and of all records that hold
     it, taken 1.5 standard errors low, so that a few chance hits of a rare line don't reach it; ``few_words``: ordinary words beside a place in a unit that can't be a sentence about it;
-    ``notations``: notations in one slot that make its skeleton a template."""
+    ``notations``: notations in one slot that make its skeleton a template; ``fillings``: different ordinary values
+    in one slot that make a name, default or blank in it an unfilled one."""
 
     page_records: int = 3
     page_share: float = 0.1
     few_words: int = 3
     notations: int = 2
+    fillings: int = 3
 
 
 def units(docs: DataFrame, doc: str, text: str, origin: str | None = None, marks: Sequence[str] = ()) -> DataFrame:
@@ -155,6 +166,20 @@ def _own_signs(unit: Column) -> Column:
     return fixed | titled | unit.rlike(HTTP_ERROR) | unit.rlike(DEFAULTS) | same | salad
 
 
+def _slots(skeleton: Column) -> Column:
+    """(place, value) for every token of a unit. ``place``: the hash of what is constant about it: the number of tokens,
+    its position, the first token and the tokens beside it (two at the start), so that records meet whatever their other slots hold.
+    ``value``: the hash of the token, NULL where it looks unfilled."""
+    token = F.split(F.regexp_replace(skeleton, r"[.,;!?]+$", ""), " ")
+    n = F.size(token)
+    unfilled = "^[\"'`(]*(?:" + "|".join(UNFILLED) + ")[\"'`),:;]*$"
+    beside = lambda i: F.when((i >= 1) & (i <= n), F.try_element_at(token, i))
+    place = lambda i: F.xxhash64(n, i, F.coalesce(beside(F.when(i > 1, F.lit(1))), F.lit("^")), F.coalesce(beside(i - 1), F.lit("^")), F.coalesce(beside(i + 1), F.lit("$")), F.coalesce(beside(F.when(i == 1, F.lit(3))), F.lit("")))
+    value = lambda i: F.when(~F.element_at(token, i).rlike(unfilled), F.xxhash64(F.element_at(token, i)))
+    each = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(place(i).alias("place"), value(i).alias("value")))
+    return F.when(n >= 3, each).otherwise(F.filter(each, lambda x: F.lit(False)))
+
+
 def find_residue(docs: DataFrame, doc: str, text: str, origin: str | None = None, parameters: ResidueParameters = ResidueParameters(), marks: Sequence[str] = ()) -> DataFrame:
     """Ids of the records that hold residue, each once, as column ``doc``.
 
@@ -176,6 +201,7 @@ def find_residue(docs: DataFrame, doc: str, text: str, origin: str | None = None
         "same",
         "bare",
         "line",
+        "skeleton",
         _own_signs(F.col("unit")).alias("own"),
         F.when(F.col("has_place"), F.xxhash64(F.regexp_replace("skeleton", r"\d+", "0"))).alias("template"),
         F.when(F.col("has_place"), F.regexp_replace(held, r"[\p{L}\p{N}_.]+(?: [\p{L}\p{N}_.]+)*", "a")).alias("notation"),
@@ -188,7 +214,12 @@ def find_residue(docs: DataFrame, doc: str, text: str, origin: str | None = None
     notations = placed.groupBy("template", "notation").agg(F.count(F.lit(1)).alias("n")).groupBy("template").agg(F.count(F.lit(1)).alias("notations"))
     templates = notations.filter(F.col("notations") >= p.notations).select("template")
     aligned = semi_join(placed.select("doc", "template"), templates, "template").select("doc")
+    tokens = u.select("doc", F.explode(_slots(F.col("skeleton"))).alias("t")).select("doc", "t.place", "t.value")
+    unfilled = cut_lineage(tokens.filter("value is null").select("doc", "place"))
+    filled = semi_join(tokens.filter("value is not null").select("place", "value"), unfilled.select("place").distinct(), "place").distinct()
+    known = filled.groupBy("place").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= p.fillings).select("place")
+    induced = semi_join(unfilled, known, "place").select("doc")
     lines = u.select("line", "same", "bare").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("records"), F.count(F.when(F.col("bare"), 1)).alias("whole"))
     page_lines = lines.filter((F.col("whole") >= p.page_records) & (F.col("whole") - 1.5 * F.sqrt("whole") >= F.col("records") * p.page_share)).select("line")
     paged = semi_join(u.select("doc", "line"), page_lines, "line").select("doc")
-    return alone.unionByName(aligned).unionByName(paged).distinct()
+    return alone.unionByName(aligned).unionByName(induced).unionByName(paged).distinct()

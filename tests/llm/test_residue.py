@@ -97,3 +97,11 @@ def test_pages_repeated_within_one_origin(spark):
 
 def test_identifiers_are_one_word(spark):
     assert found(spark, [HEAD + "    Release @@VERSION@@ of footer_checkpoint\n" + DIFF]) == {0}
+
+
+def test_slots_are_known_from_their_fillings(spark):
+    say = "    This was done for the release manager of the day called {} over in {}\n"
+    names = [say.format(*x) for x in (("Ann", "Rome"), ("Bob", "Oslo"), ("Cid", "Bonn"))]
+    left = [say.format(*x) for x in (("${a}", "Kyiv"), ("¤name¤", "Lima"), ("RELEASE_MANAGER", "Bern"), ("undefined", "Nice"), ("____", "Cork"))]
+    assert found(spark, [HEAD + x for x in names + left]) == {3, 4, 5, 6, 7}
+    assert found(spark, [HEAD + x for x in names[:2] + left[1:2]]) == set()
