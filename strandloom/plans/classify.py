@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,3 +88,14 @@ def shared_reads(reads: DataFrame) -> DataFrame:
     n = reads.distinct().groupBy("read_seq").agg(F.count_if(F.col("circ_type") == "R").alias("r"), F.count_if(F.col("circ_type") == "S").alias("s"))
     two = lambda c: F.coalesce(F.sum(F.floor(F.col(c) * (F.col(c) - 1) / 2)), F.lit(0))
     return n.agg(two("r").alias("regular_regular"), two("s").alias("self_self"), F.coalesce(F.sum(F.col("s") * F.col("r")), F.lit(0)).alias("self_regular"))
+
+
+def spanning_reads(alignments: DataFrame, status: DataFrame, breakpoint: str, kinds: Sequence[str]) -> DataFrame:
+    """Per ``cand_id``: alignments, those that span the breakpoint (start < breakpoint < end), reads, reads with one
+    that spans, whether there is any, and the number of these reads of each status in ``kinds``."""
+    over = (F.col("s") < F.col(breakpoint)) & (F.col("e") > F.col(breakpoint))
+    r = alignments.groupBy("cand_id", "read_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(over).alias("spans"))
+    r = r.join(status.select("cand_id", "read_id", "status"), ["cand_id", "read_id"])
+    hit = F.col("spans") > 0
+    counts = [F.count_if(hit & (F.col("status") == k)).alias(k.lower()) for k in kinds]
+    return r.groupBy("cand_id").agg(F.sum("n").alias("alignments"), F.sum("spans").alias("spanning"), F.count(F.lit(1)).alias("reads"), F.count_if(hit).alias("spanning_reads"), F.max(hit).alias("valid"), *counts)

@@ -111,6 +111,21 @@ def classify_end_to_end(spark: SparkSession, folder: str) -> DataFrame:
 
 @classification.add("select cast(count(*) as bigint) as n, cast(sum(case when l_quantity > 10 then 1 else 0 end) as bigint) as spanning from lineitem")
 def spanning_reads(spark: SparkSession, folder: str) -> DataFrame:
-    """Alignments, and those that span a position."""
+    """Order lines, and those of a quantity above 10; reads that span junctions are in ``junction_spanning_reads``."""
     li = table(spark, folder, "lineitem").select((F.col("l_quantity") > 10).alias("x"))
     return li.agg(F.count(F.lit(1)).alias("n"), F.count_if("x").alias("spanning"))
+
+
+_KINDS = ("Good", "AdditionalPart", "AdditionalPart_Ref", "Imbalance", "LowQuality", "Bad")
+_SPAN_COUNTS = ", ".join(f"cast(count(case when spans > 0 and status = '{k}' then 1 end) as bigint) as {k.lower()}" for k in _KINDS)
+
+
+@classification.add(f"""
+with {_STATUS}, r as (select cand_id, read_id, count(*) as n, count(case when s < 60 and e > 60 then 1 end) as spans from alignments group by 1, 2)
+select r.cand_id, cast(sum(n) as bigint) as alignments, cast(sum(spans) as bigint) as spanning, cast(count(*) as bigint) as reads, cast(count(case when spans > 0 then 1 end) as bigint) as spanning_reads,
+count(case when spans > 0 then 1 end) > 0 as valid, {_SPAN_COUNTS} from r join status x on r.cand_id = x.cand_id and r.read_id = x.read_id group by 1
+""")
+def junction_spanning_reads(spark: SparkSession, folder: str) -> DataFrame:
+    """Per candidate: alignments and reads, those with start < breakpoint < end, and the latter's reads by status."""
+    a = _alignments(spark, folder)
+    return Q.spanning_reads(a, Q.read_status(a, _ORDER, "bp"), "bp", _KINDS)

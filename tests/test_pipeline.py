@@ -67,3 +67,9 @@ def test_major_status_and_shared_reads(spark):
     assert {r["cand_id"]: r["status"] for r in Q.major_status(df).collect()} == {1: "Good", 2: "AdditionalPart", 3: "Bad", 4: None, 5: "LowQuality"}
     reads = spark.createDataFrame([("x", 1, "R"), ("x", 2, "R"), ("x", 3, "S"), ("x", 3, "S"), ("y", 1, "S")], "read_seq string, cand_id int, circ_type string")
     assert tuple(Q.shared_reads(reads).first()) == (1, 0, 2)
+
+
+def test_spanning_reads(spark):
+    a = spark.createDataFrame([(1, 1, 20, 90, 60), (1, 1, 60, 90, 60), (1, 2, 20, 60, 60), (2, 1, 61, 90, 60)], "cand_id int, read_id int, s int, e int, bp int")
+    st = spark.createDataFrame([(1, 1, "Good"), (1, 2, "Bad"), (2, 1, "Bad")], "cand_id int, read_id int, status string")
+    assert {tuple(r) for r in Q.spanning_reads(a, st, "bp", ["Good", "Bad"]).collect()} == {(1, 3, 1, 2, 1, True, 1, 0), (2, 1, 0, 1, 0, False, 0, 0)}
