@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import EngineConfig
 from ..operators.bands import band_join
 from ..operators.folds import drop_later_similar, merge_support
 from ..session import cut_lineage, table
@@ -132,6 +133,12 @@ def brief_sink(spark: SparkSession, folder: str) -> DataFrame:
     return brief_lines(inputs.calls(spark, folder).filter("coalesce(support, 0) <= 5"))
 
 
+@comparison.add(f"with {inputs.CALLS} select chrom || ' ' || start_pos || ' ' || end_pos || ' ' || coalesce(support, 0) || ' ' || case when circ_type = 'S' then tag else 'xx' end || ' ' || circ_type as value from calls where circ_type in ('S', 'R') and coalesce(support, 0) <= {EngineConfig().max_support}")
+def brief_sink_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of the brief format of calls up to the support limit of a run."""
+    return brief_lines(inputs.calls(spark, folder).filter(F.coalesce("support", F.lit(0)) <= EngineConfig().max_support))
+
+
 @comparison.add(f"with {inputs.CALLS} select tool, chrom, cast(count(*) as bigint) as n, cast(sum(support) as bigint) as support from calls group by tool, chrom union all select 'all', chrom, cast(count(*) as bigint), cast(sum(support) as bigint) from calls group by chrom")
 def union_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Calls per tool and chromosome, and of all tools together."""
