@@ -11,7 +11,7 @@ from ..session import cut_lineage, table
 from .frequent import frequent_items
 from .mixing import Mix, Target, mix
 from .packing import pack, packing_summary
-from .residue import find_residue
+from .residue import ResidueParameters, find_residue
 from .tokens import token_count
 
 QUERIES = Registry()
@@ -81,16 +81,19 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder).shares
 
 
+def _residue(docs: DataFrame) -> DataFrame:
+    """Residue as induced from the documents, without phrases of known pages."""
+    return find_residue(docs, "doc_id", "text", "repo", ResidueParameters(known=False), marks=["author", "committed_at"]).withColumnRenamed("doc", "doc_id")
+
+
 @QUERIES.add()
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records with template residue, filler, error pages or script notices in place of their content."""
-    return find_residue(table(spark, folder, "documents"), "doc_id", "text", "repo", marks=["author", "committed_at"]).withColumnRenamed("doc", "doc_id")
+    return _residue(table(spark, folder, "documents"))
 
 
 @QUERIES.add()
 def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
     """The documents without them."""
     docs = table(spark, folder, "documents")
-    found = find_residue(docs, "doc_id", "text", "repo", marks=["author", "committed_at"]).withColumnRenamed("doc", "doc_id")
-    kept = semi_join(docs.select("doc_id", "repo", "source", "n_chars"), found, "doc_id", anti=True)
-    return kept
+    return semi_join(docs.select("doc_id", "repo", "source", "n_chars"), cut_lineage(_residue(docs)), "doc_id", anti=True)

@@ -1,17 +1,19 @@
 """Template residue, filler text, error pages and script notices that stand where a commit's content should be.
 
-Records are cut into units (lines and sentences of what precedes the diff). Units that agree but for their slots
-are aligned by their skeleton, and two things are induced from all records:
-
-- slots: places of a skeleton that hold a variable's name, a default or a blank. A skeleton whose slot is seen in
-  several notations is a template; one that always holds the same notation in a full sentence is a sentence
-  that speaks of such a thing.
-- page lines: units that make up whole records, without a commit's head or diff, far more often than ordinary
-  lines do. They are the lines of repeated error pages, notices and filler, and count in any record.
+Records are cut into units (lines and sentences of what precedes the diff), each in the message or out of place
+(where the diff or a whole commit should be). What is residue is induced from all records:
+
+- slots: units of different records that agree but for one token are aligned on it. A slot that keeps a variable's
+  name, a default or a blank is unfilled where it comes in several notations, where other records fill it, or where
+  the unit holds hardly anything else.
+- pages: words, word pairs and lines that stand out of place far more often than the message's own words do, by a
+  likelihood ratio. A unit made of these is a line of an error page, notice or filler, in whatever record.
+- gibberish: units whose words no other record has, measured against how often that happens by chance.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -23,24 +25,24 @@ from ..session import cut_lineage
 
 # Notations of an unfilled place.
 PLACEHOLDERS = [
-    r"\$\{[^{}\n]{0,60}\}",  # ${name}
-    r"\{\{[^{}\n]{0,60}\}\}",  # {{ name }}
-    r"<%[^%<>\n]{0,60}%>",  # <%= name %>
-    r"\{%[^%{}\n]{0,60}%\}",  # {% name %}
+    r"\$\{[^{}\n]*\}",  # ${name}
+    r"\{\{[^{}\n]*\}\}",  # {{ name }}
+    r"<%[^%<>\n]*%>",  # <%= name %>
+    r"\{%[^%{}\n]*%\}",  # {% name %}
     r"~~\w+~~",  # ~~name~~
-    r"#\{[^{}\n]{0,60}\}",  # #{name}
-    r"\{[A-Za-z0-9_.]{0,40}\}",  # {name}, {0}
-    r"<<[^<>\n]{1,60}>>",  # <<name>>
-    r"\[\[[^\[\]\n]{1,60}\]\]",  # [[name]]
-    r"<(?!/|!|(?:html|head|title|body|pre|hr|h[1-6]|p|b|br|div|noscript|a|i|li|ul|table|tr|td|span)\b)[^<>@/=\n]{2,60}>",  # <a name>
-    r"\[(?!PATCH|RFC|skip |ci )[^\[\]\n]*[^\[\]\n ] [^\[\]\n]{1,60}\]",  # [your name]
+    r"#\{[^{}\n]*\}",  # #{name}
+    r"\{[A-Za-z0-9_.]*\}",  # {name}, {0}
+    r"<<[^<>\n]+>>",  # <<name>>
+    r"\[\[[^\[\]\n]+\]\]",  # [[name]]
+    r"<(?!/|!|(?:html|head|title|body|pre|hr|h[1-6]|p|b|br|div|noscript|a|i|li|ul|table|tr|td|span)\b)[^<>@/=\n]{2,}>",  # <a name>
+    r"\[(?!PATCH|RFC|skip |ci )[^\[\]\n]*[^\[\]\n ] [^\[\]\n]+\]",  # [your name]
     r"\[object Object\]",
-    r"【[^】\n]{1,60}】",
+    r"【[^】\n]+】",
     r"@@\w+@@",  # @@NAME@@
     r"(?<![\w@])@[A-Za-z_]+@(?![\w@])",  # @NAME@
     r"__[A-Za-z][A-Za-z_]*[A-Za-z]__",  # __NAME__
-    r"%\([^)\n]{1,40}\)[sdSD]",  # %(name)s
-    r"%[A-Za-z]\w{2,40}%",  # %NAME%
+    r"%\([^)\n]+\)[sdSD]",  # %(name)s
+    r"%[A-Za-z]\w{2,}%",  # %NAME%
     r"%[sd]\b",
     r"\$\([A-Za-z_]\w*\)",  # $(NAME)
     r"\$[A-Za-z_]\w*\$?",  # $NAME, $name$
@@ -69,6 +71,7 @@ INSTRUCTIONS = [
 ]
 # Filler, server errors, exporter errors and script notices, as whole units.
 PAGES = [
+    r"^lorem ipsum\b.*",
     r"^(?:this is )?(?:sample|dummy|filler|placeholder) (?:text|words|paragraph|content)\b.{0,60}",
     r"^hier steht ein blindtext\b.*",
     r'^\{"error": ?\{.*\}\}$',
@@ -101,14 +104,6 @@ SENTENCES = [
     r"^(?:active los scripts|activez javascript|bitte aktivieren sie javascript|ative o javascript)\b.*",
 ]
 
-# Small words that ordinary sentences of these languages can hardly do without.
-SMALL_WORDS = (
-    "a an the and or of to in on at for from by with without is are was were be been has have had that this it its not no if when while as "
-    "der die das ein eine und oder zu im in auf für von mit ist sind wird wurde nicht wenn am bei auch den dem "
-    "el la los las un una y o de del al en con por para es son se que cuando no su le les des du et ou une est sont pas qui ne pour dans sur avec au aux "
-    "o os as um uma e do da dos das no na em com por para que não foi quando"
-).split()
-
 _PLACE = "(?:" + "|".join(PLACEHOLDERS) + ")"
 _DIFF = r"(?:diff --git |Index: |@@ -\d)"
 _HEAD = r"(?m)^(?:commit [0-9a-f]{7,}|Author: |Tagger: |From: .*@|Date: |r\d+ \| )"
@@ -119,65 +114,160 @@ _HEAD_LINE = (
 _TAG = r"(?i)<!doctype[^<>]*>|(?<!<)</?(?:html|head|title|body|pre|hr|h[1-6]|p|b|br|div|noscript|a|i|li|ul|table|tr|td|span)(?:\s[^<>]*)?/?>(?!>)"
 
 
+_GIT = r"(?m)^commit [0-9a-f]{7,}"
+_MAIL = r"(?m)^From: .*@"
+_WORD = r"[\p{L}\p{N}_]+(?:['’]\p{L}+)?"
+
+
 @dataclass(frozen=True)
 class ResidueParameters:
-    """``page_records``: whole records that a page line must make up; ``page_share``: and of all records that hold
-    it, taken 1.5 standard errors low, so that a few chance hits of a rare line don't reach it; ``few_words``: ordinary words beside a place in a unit that can't be a sentence about it;
-    ``notations``: notations in one slot that make its skeleton a template; ``fillings``: different ordinary values
-    in one slot that make a name, default or blank in it an unfilled one."""
+    """``few_words``: ordinary words beside a place in a unit that can't be a sentence about it; ``notations``: notations
+    in one slot that make its unit a template; ``fillings``: different ordinary values in one slot that make a name,
+    default or blank in it an unfilled one.
+
+    ``ordinary_share`` and ``page_share``: how often an ordinary and a page's word, word pair or line stands out of place;
+    ``evidence``: log of the likelihood ratio from which it is a page's, the record at hand not counted; ``cover``: share
+    of a unit's words that must be. ``chance``: of a unit of words that no other record has.
+
+    ``slots``, ``pages``, ``gibberish`` switch what is induced, ``instructions`` what matches ``INSTRUCTIONS``. ``known``
+    adds the phrases of known pages, for tables too small to induce any.
+    """
 
-    page_records: int = 3
-    page_share: float = 0.1
     few_words: int = 3
     notations: int = 2
     fillings: int = 3
+    ordinary_share: float = 0.03
+    page_share: float = 0.4
+    evidence: float = 4.0
+    cover: float = 0.8
+    chance: float = 1e-5
+    slots: bool = True
+    pages: bool = True
+    gibberish: bool = True
+    instructions: bool = True
+    known: bool = True
 
 
-def units(docs: DataFrame, doc: str, text: str, origin: str | None = None, marks: Sequence[str] = ()) -> DataFrame:
-    """(doc, same, bare, unit) for every line and sentence before the diff; ``bare`` records have neither head nor diff.
+def records(docs: DataFrame, doc: str, text: str, origin: str | None = None, marks: Sequence[str] = ()) -> DataFrame:
+    """(doc, same, message, off): what a record says before its diff, in the message and out of place.
 
+    Out of place is all of a record with neither head nor diff and, in a record without a diff, what follows the
+    message: lines that aren't indented where messages are, and what comes after the mail's separator.
     ``same`` is one for records of equal text and origin: copies of one record, which must not look like a
     repeated page. A bare text doesn't tell copies from a repeated page: with ``marks`` (columns such as author and time),
-    bare records are copies only if they agree in these too; where all of them are NULL each stands for itself. Without an origin every record stands for itself. Head lines, trailers and tags are taken away. NULL and blank texts have no units.
+    bare records are copies only if they agree in these too; where all of them are NULL each stands for itself. Without an
+    origin every record stands for itself. Head lines, trailers and tags are taken away. NULL texts are left out.
     """
-    norm = F.regexp_replace(F.col(text), r"\r\n?", "\n")
-    front = F.regexp_replace(norm, r"(?s)(?:\A|(?<=\n))" + _DIFF + ".*", "")
     same = F.xxhash64(doc) if origin is None else F.xxhash64(origin, text)
     unmarked = F.when(F.coalesce(*[F.col(m).cast("string") for m in marks]).isNull(), F.col(doc)) if marks else None
     bare_same = F.xxhash64(origin, text, *marks, unmarked) if origin is not None and marks else same
-    rows = docs.select(F.col(doc).alias("doc"), same.alias("same"), bare_same.alias("bare_same"), norm.alias("norm"), front.alias("front")).filter("norm is not null")
-    bare = (F.length("norm") == F.length("front")) & ~F.col("front").rlike(_HEAD)
-    rows = rows.withColumn("same", F.when(bare, F.col("bare_same")).otherwise(F.col("same")))
-    told = F.regexp_replace(F.regexp_replace("front", _HEAD_LINE, ""), _TAG, "\n")
+    rows = docs.filter(F.col(text).isNotNull() & F.col(doc).isNotNull())
+    cut = F.get(F.split(text, r"(?<![^\n\r])" + _DIFF, 2), 0)
+    rows = rows.select(F.col(doc).alias("doc"), same.alias("same"), bare_same.alias("bare_same"), (F.length(text) > F.length(cut)).alias("diff"), F.regexp_replace(cut, r"\r\n?", "\n").alias("front"))
+    bare = ~F.col("diff") & ~F.col("front").rlike(_HEAD)
+    told = F.regexp_replace(F.regexp_replace("front", _HEAD_LINE.replace("|---|", "|"), ""), _TAG, "\n")
     told = F.regexp_replace(told, r"(?m)^Subject: (?:\[[^\]\n]*\] ?)?", "")
-    lines = F.transform(F.split(told, r"\n|(?<=[.!?。])\s+"), lambda x: F.trim(F.regexp_replace(x, r"[\t ]+", " ")))
-    lines = F.array_distinct(F.filter(lines, lambda x: F.length(x) > 0))
-    return rows.select("doc", "same", bare.alias("bare"), F.explode(lines).alias("unit"))
-
-
-def _own_signs(unit: Column) -> Column:
-    """Residue that a unit shows by itself: instructions, defaults after a label, pages, filler."""
-    fixed = F.lower(unit).rlike("|".join(f"(?:{p})" for p in INSTRUCTIONS + PAGES + SENTENCES))
-    titled = unit.rlike("^(?:[45]\\d\\d )?(?i:" + "|".join(TITLES) + r")[.!…]*(?:$|\s+\p{Lu}.*[.!]$)")
-    words = F.split(F.regexp_replace(F.lower(unit), r"[.,!?:;]+", ""), " +")
-    same = (F.size(words) >= 3) & (F.size(F.array_distinct(words)) == 1) & F.lower(unit).rlike(r"^\p{L}")
-    small = F.array(*[F.lit(w) for w in SMALL_WORDS])
-    salad = unit.rlike(r"^[\p{L} ,]+\.?$") & (F.size(words) >= 5) & ~F.arrays_overlap(words, small)
-    return fixed | titled | unit.rlike(HTTP_ERROR) | unit.rlike(DEFAULTS) | same | salad
-
-
-def _slots(skeleton: Column) -> Column:
-    """(place, value) for every token of a unit. ``place``: the hash of what is constant about it: the number of tokens,
-    its position, the first token and the tokens beside it (two at the start), so that records meet whatever their other slots hold.
-    ``value``: the hash of the token, NULL where it looks unfilled."""
-    token = F.split(F.regexp_replace(skeleton, r"[.,;!?]+$", ""), " ")
+    git, mail = F.col("front").rlike(_GIT), F.col("front").rlike(_MAIL)
+    rows = rows.select("doc", F.when(bare, F.col("bare_same")).otherwise(F.col("same")).alias("same"), bare.alias("bare"), "diff", git.alias("git"), mail.alias("mail"), told.alias("told"))
+    after = r"(?s)\n--- *(?:\n.*|\z)"
+    message = F.when(F.col("bare"), "").when(F.col("diff"), F.col("told")).when(F.col("git"), F.regexp_replace("told", r"(?m)^(?! {4}|\t).*$", "")).when(F.col("mail"), F.regexp_replace("told", after, "")).otherwise(F.col("told"))
+    rest = F.when(F.col("git"), F.regexp_replace("told", r"(?m)^(?: {4}|\t).*$", "")).when(F.col("mail"), F.regexp_extract("told", after, 0))
+    off = F.when(F.col("bare"), F.col("told")).when(~F.col("diff"), F.coalesce(rest, F.lit(""))).otherwise("")
+    return rows.select("doc", "same", message.alias("message"), off.alias("off"))
+
+
+def _units(told: DataFrame) -> DataFrame:
+    """(same, no, off, unit, words): lines and sentences with their words, numbers and hashes made equal. Copies count once."""
+
+    def lines(c: str, off: bool) -> Column:
+        parts = F.transform(F.split(c, r"\n|(?<=[.!?。])\s+"), lambda x: F.trim(F.regexp_replace(x, r"[\t ]+", " ")))
+        parts = F.array_distinct(F.filter(parts, lambda x: (F.length(x) > 0) & ~x.rlike("^--- ?$")))
+        return F.transform(parts, lambda x: F.struct(F.lit(off).alias("off"), x.alias("unit")))
+
+    u = told.select("same", "message", "off").dropDuplicates(["same"]).select("same", F.posexplode(F.concat(lines("message", False), lines("off", True))).alias("no", "u"))
+    plain = F.regexp_replace(F.regexp_replace(F.lower("u.unit"), r"\b(?=[a-f]*\d)[0-9a-f]{6,}\b", "h"), r"\d+", "0")
+    return u.select("same", "no", "u.off", "u.unit", F.regexp_extract_all(plain, F.lit(_WORD), F.lit(0)).alias("words"))
+
+
+def _own_signs(unit: Column, words: Column, p: ResidueParameters) -> Column:
+    """Residue that a unit shows by itself: a default after a label, one or two words over and over, an instruction."""
+    kinds = F.size(F.array_distinct(words))
+    signs = unit.rlike(DEFAULTS) | ((F.size(words) >= 3) & (kinds == 1) & F.lower(unit).rlike(r"^\p{L}")) | ((F.size(words) >= 6) & (kinds == 2))
+    if p.instructions:
+        signs |= F.lower(unit).rlike("|".join(f"(?:{x})" for x in INSTRUCTIONS))
+    if p.known:
+        signs |= F.lower(unit).rlike("|".join(f"(?:{x})" for x in PAGES + SENTENCES)) | unit.rlike(HTTP_ERROR)
+        signs |= unit.rlike("^(?:[45]\\d\\d )?(?i:" + "|".join(TITLES) + r")[.!…]*(?:$|\s+\p{Lu}.*[.!]$)")
+    return signs
+
+
+def _paged(u: DataFrame, p: ResidueParameters) -> DataFrame:
+    """``same`` of records with a unit made of words, word pairs or lines of pages, or of words that nobody else has."""
+    n = F.size("words")
+    first, last = F.array(F.lit("^")), F.array(F.lit("$"))
+    grams = F.concat(F.transform("words", lambda w: F.xxhash64(w)), F.zip_with(F.concat(first, "words"), F.concat("words", last), lambda a, b: F.xxhash64(a, b)), F.array(F.xxhash64(F.lit("line"), "words")))
+    g = u.filter(n > 0).select("same", "no", "off", n.alias("n"), F.posexplode(grams).alias("at", "gram"))
+    per = g.groupBy("gram", "same").agg(F.max("off").alias("off"), F.min(F.struct("no", "n")).alias("unit"), F.bool_or(F.col("at") < F.col("n")).alias("word"))
+    per = per.groupBy("gram").agg(F.count(F.lit(1)).alias("records"), F.count_if("off").alias("out"), F.bool_or("word").alias("word"), F.min(F.struct("same", "unit")).alias("one"))
+    stats = cut_lineage(per.select("gram", "records", "out", "word", F.when(F.col("records") == 1, F.col("one")).alias("one")))
+    more, less = math.log(p.page_share / p.ordinary_share), math.log((1 - p.page_share) / (1 - p.ordinary_share))
+    ratio = lambda k, m: k * more + (m - k) * less
+    key = lambda off: F.xxhash64("gram", F.lit(off))
+    # a unit out of place is judged by the other records only
+    inside = F.when(ratio(F.col("out"), F.col("records")) >= p.evidence, key(False))
+    outside = F.when(ratio(F.col("out") - 1, F.col("records") - 1) >= p.evidence, key(True))
+    keys = stats.filter("out >= 2").select(F.explode(F.array(inside, outside)).alias("key")).filter("key is not null")
+    hits = semi_join(g.withColumn("key", F.xxhash64("gram", "off")), keys, "key")
+    word = F.when(F.col("at") < F.col("n"), F.col("at"))
+    pair = F.when((F.col("at") >= F.col("n")) & (F.col("at") <= 2 * F.col("n")), F.col("at") - F.col("n"))
+    hits = hits.groupBy("same", "no").agg(F.max("n").alias("n"), F.collect_set(word).alias("alone"), F.collect_set(pair).alias("pairs"), F.max(F.col("at") > 2 * F.col("n")).alias("line"))
+    both = F.array_intersect("pairs", F.transform("pairs", lambda x: x - 1))
+    covered = F.size(F.array_union("alone", both))
+    found = hits.filter(F.col("line") | ((F.col("n") >= 2) & (covered >= p.cover * F.col("n")))).select("same")
+    if not p.pages:
+        found = found.limit(0)
+    if p.gibberish:
+        words = stats.filter("word")
+        rare = words.agg(F.coalesce(F.count_if(F.col("records") == 1) / F.sum("records"), F.lit(1.0)).alias("r")).scalar()
+        alone = words.filter("records = 1").groupBy("one.same", "one.unit").agg(F.count(F.lit(1)).alias("rare")).select("same", "unit.n", "rare")
+        alone = alone.filter((F.col("n") >= 4) & (F.col("rare") >= p.cover * F.col("n"))).withColumn("r", rare)
+        found = found.unionByName(alone.filter(F.pow("r", "rare") <= p.chance).select("same"))
+    return found
+
+
+def _places(token: Column) -> Column:
+    """(place, token) for every token of a unit. ``place``: the hash of what is constant about it: the number of tokens,
+    its position, the first token and the tokens beside it (two at the start), so that records meet whatever their other slots hold."""
+    none, end = F.array(F.lit("^")), F.array(F.lit("$"))
     n = F.size(token)
-    unfilled = "^[\"'`(]*(?:" + "|".join(UNFILLED) + ")[\"'`),:;]*$"
-    beside = lambda i: F.when((i >= 1) & (i <= n), F.try_element_at(token, i))
-    place = lambda i: F.xxhash64(n, i, F.coalesce(beside(F.when(i > 1, F.lit(1))), F.lit("^")), F.coalesce(beside(i - 1), F.lit("^")), F.coalesce(beside(i + 1), F.lit("$")), F.coalesce(beside(F.when(i == 1, F.lit(3))), F.lit("")))
-    value = lambda i: F.when(~F.element_at(token, i).rlike(unfilled), F.xxhash64(F.element_at(token, i)))
-    each = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(place(i).alias("place"), value(i).alias("value")))
-    return F.when(n >= 3, each).otherwise(F.filter(each, lambda x: F.lit(False)))
+    before = F.slice(F.concat(none, token), F.lit(1), n)
+    after = F.slice(F.concat(token, end), F.lit(2), n)
+    leading = F.concat(F.array(F.coalesce(F.get(token, F.lit(2)), F.lit(""))), F.array_repeat(F.get(token, F.lit(0)), n - 1))
+    return F.arrays_zip(token.alias("token"), before.alias("before"), after.alias("after"), leading.alias("leading"))
+
+
+def _slotted(u: DataFrame, p: ResidueParameters) -> DataFrame:
+    """``same`` of records with an unfilled slot."""
+    skeleton = F.regexp_replace("unit", _PLACE, "⟂")
+    held = F.regexp_extract("unit", "(" + _PLACE + ")", 1)
+    s = u.select("same", "unit", skeleton.alias("skeleton"), held.alias("held")).withColumn("placed", F.col("skeleton") != F.col("unit"))
+    # an identifier is one word
+    rest = F.regexp_replace(F.regexp_replace("skeleton", r"(?<=[\p{L}\p{N}])[_./-]+(?=[\p{L}\p{N}])", ""), r"[⟂\p{N}\p{P}\p{S}]+", " ")
+    own = F.col("skeleton").rlike(r"^\W*⟂\W*:") | F.col("skeleton").rlike(r"^[\p{L}][\p{L} _-]*\s*[:：#]\s*⟂\W*$")
+    words = F.size(F.filter(F.split(F.trim(rest), " +"), lambda x: F.length(x) > 0))
+    placed = s.filter("placed").select("same", F.xxhash64(F.regexp_replace("skeleton", r"\d+", "0")).alias("template"), F.regexp_replace("held", r"[\p{L}\p{N}_.]+(?: [\p{L}\p{N}_.]+)*", "a").alias("notation"), (own | (words <= p.few_words)).alias("alone"))
+    templates = placed.select("template", "notation").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= p.notations).select("template")
+    found = placed.filter("alone").select("same").unionByName(semi_join(placed.select("same", "template"), templates, "template").select("same"))
+    tokens = s.select("same", F.split(F.regexp_replace("skeleton", r"[.,;!?]+$", ""), " ").alias("t")).filter(F.size("t") >= 3)
+    tokens = tokens.select("same", F.size("t").alias("n"), F.posexplode(_places(F.col("t"))).alias("at", "x"))
+    place = F.xxhash64("n", "at", F.col("x.leading"), F.col("x.before"), F.col("x.after")).alias("place")
+    blank = F.col("x.token").rlike("^[\"'`(]*(?:" + "|".join(UNFILLED) + ")[\"'`),:;]*$")
+    odd = F.col("x.token").rlike(r"[^\p{Ll}\p{N}]|^un|^nu|^nil")  # cheaper than the whole pattern, and never false where that is true
+    unfilled = cut_lineage(tokens.filter(odd).filter(blank).select("same", place))
+    filled = semi_join(tokens.select(place, F.col("x.token").alias("token")), unfilled.select("place").distinct(), "place")
+    filled = filled.filter(~F.col("token").rlike("^[\"'`(]*(?:" + "|".join(UNFILLED) + ")[\"'`),:;]*$"))
+    known = filled.select("place", F.xxhash64("token").alias("value")).distinct().groupBy("place").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= p.fillings).select("place")
+    return found.unionByName(semi_join(unfilled, known, "place").select("same"))
 
 
 def find_residue(docs: DataFrame, doc: str, text: str, origin: str | None = None, parameters: ResidueParameters = ResidueParameters(), marks: Sequence[str] = ()) -> DataFrame:
@@ -185,41 +275,16 @@ def find_residue(docs: DataFrame, doc: str, text: str, origin: str | None = None
 
     What stands in diff hunks doesn't count, nor does a sentence about placeholders, errors or notices. NULL and
     blank texts are no cases; equal records share their fate; an empty table gives no rows. Statistics are over
-    all records. Rows with a NULL id are left out. ``origin`` and ``marks`` tell copies of a record from repeated pages (see ``units``).
+    all records. Rows with a NULL id are left out. ``origin`` and ``marks`` tell copies of a record from repeated pages
+    (see ``records``).
     """
     p = parameters
-    u = units(docs.filter(F.col(doc).isNotNull()), doc, text, origin, marks)
-    skeleton = F.regexp_replace("unit", _PLACE, "⟂")
-    held = F.regexp_extract("unit", "(" + _PLACE + ")", 1)
-    # an identifier is one word
-    rest = F.regexp_replace(F.regexp_replace(skeleton, r"(?<=[\p{L}\p{N}])[_./-]+(?=[\p{L}\p{N}])", ""), r"[⟂\p{N}\p{P}\p{S}]+", " ")
-    key = F.regexp_replace(F.regexp_replace("unit", r"\b(?=[a-f]*\d)[0-9a-f]{6,}\b", "H"), r"\d+", "0")
-    u = u.select("doc", "same", "bare", "unit", skeleton.alias("skeleton"), F.xxhash64(key).alias("line"))
-    u = u.withColumn("has_place", F.col("skeleton") != F.col("unit"))
-    u = u.select(
-        "doc",
-        "same",
-        "bare",
-        "line",
-        "skeleton",
-        _own_signs(F.col("unit")).alias("own"),
-        F.when(F.col("has_place"), F.xxhash64(F.regexp_replace("skeleton", r"\d+", "0"))).alias("template"),
-        F.when(F.col("has_place"), F.regexp_replace(held, r"[\p{L}\p{N}_.]+(?: [\p{L}\p{N}_.]+)*", "a")).alias("notation"),
-        F.when(F.col("has_place"), F.size(F.filter(F.split(F.trim(rest), " +"), lambda x: F.length(x) > 0))).alias("words"),
-        (F.col("skeleton").rlike(r"^\W*⟂\W*:") | F.col("skeleton").rlike(r"^[\p{L}][\p{L} _-]{0,30}\s*[:：#]\s*⟂\W*$")).alias("slot"),
-    )
-    u = cut_lineage(u)
-    alone = u.filter("own or (template is not null and (slot or words <= {}))".format(int(p.few_words))).select("doc")
-    placed = u.filter("template is not null")
-    notations = placed.groupBy("template", "notation").agg(F.count(F.lit(1)).alias("n")).groupBy("template").agg(F.count(F.lit(1)).alias("notations"))
-    templates = notations.filter(F.col("notations") >= p.notations).select("template")
-    aligned = semi_join(placed.select("doc", "template"), templates, "template").select("doc")
-    tokens = u.select("doc", F.explode(_slots(F.col("skeleton"))).alias("t")).select("doc", "t.place", "t.value")
-    unfilled = cut_lineage(tokens.filter("value is null").select("doc", "place"))
-    filled = semi_join(tokens.filter("value is not null").select("place", "value"), unfilled.select("place").distinct(), "place").distinct()
-    known = filled.groupBy("place").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= p.fillings).select("place")
-    induced = semi_join(unfilled, known, "place").select("doc")
-    lines = u.select("line", "same", "bare").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("records"), F.count(F.when(F.col("bare"), 1)).alias("whole"))
-    page_lines = lines.filter((F.col("whole") >= p.page_records) & (F.col("whole") - 1.5 * F.sqrt("whole") >= F.col("records") * p.page_share)).select("line")
-    paged = semi_join(u.select("doc", "line"), page_lines, "line").select("doc")
-    return alone.unionByName(aligned).unionByName(induced).unionByName(paged).distinct()
+    told = cut_lineage(records(docs, doc, text, origin, marks))
+    u = cut_lineage(_units(told))
+    found = u.filter(_own_signs(F.col("unit"), F.col("words"), p)).select("same")
+    if p.slots:
+        found = found.unionByName(_slotted(u, p))
+    if p.pages or p.gibberish:
+        found = found.unionByName(_paged(u, p))
+    found = cut_lineage(found.distinct())
+    return semi_join(told.select("doc", "same"), found, "same").select("doc").distinct()

@@ -1,7 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.llm.residue import find_residue
+from strandloom.llm.residue import ResidueParameters, find_residue
 
 HEAD = "commit 0123456789abcdef0123456789abcdef01234567\nAuthor: Ann Bee <ann.bee@post.invalid>\nDate:   2022-10-26 02:38:27 +0000\n\n"
 DIFF = "\ndiff --git a/x.py b/x.py\nindex 1..2 100644\n--- a/x.py\n+++ b/x.py\n@@ -1 +1 @@\n-{{ name }} $NAME lorem ipsum\n+<title>404 Not Found</title> Please enable JavaScript\n"
@@ -105,3 +107,45 @@ def test_slots_are_known_from_their_fillings(spark):
     left = [say.format(*x) for x in (("${a}", "Kyiv"), ("¤name¤", "Lima"), ("RELEASE_MANAGER", "Bern"), ("undefined", "Nice"), ("____", "Cork"))]
     assert found(spark, [HEAD + x for x in names + left]) == {3, 4, 5, 6, 7}
     assert found(spark, [HEAD + x for x in names[:2] + left[1:2]]) == set()
+
+
+INDUCED = ResidueParameters(known=False, instructions=False)
+
+
+def corpus():
+    """Ordinary commits of few words, and a page in words that no list has: whole, after a message, and in its place."""
+    r = random.Random(5)
+    nouns, verbs = ["cache", "pool", "route", "frame", "cell", "probe"], ["fix", "move", "split", "guard"]
+    say = lambda: f"{r.choice(verbs)} the {r.choice(nouns)} of the {r.choice(nouns)} so that it is read once"
+    plain = [HEAD + f"    {say()}\n\n    {say()}\n" + DIFF for _ in range(200)]
+    page = "Sivun hakeminen epäonnistui tänään\nKoeta uudelleen iltapäivällä\n"
+    whole = [page + f"Kohde {i}\n" for i in range(8)]
+    after = [HEAD + f"    {say()}\n\n{page}" for _ in range(4)]
+    instead = [HEAD + "    Koeta uudelleen iltapäivällä\n" + DIFF for _ in range(4)]
+    filler = ["".join(r.choice(["vesi", "kivi", "puu", "talo", "joki", "tuli"]) + " " for _ in range(9)) + "\n" for _ in range(12)]
+    mixed = [HEAD + "    " + "".join(r.choice(["vesi", "kivi", "puu", "talo", "joki", "tuli"]) + " " for _ in range(9)) + "\n" + DIFF for _ in range(4)]
+    return plain, whole + after + instead + filler + mixed
+
+
+def test_pages_and_filler_are_induced_from_the_records_alone(spark):
+    plain, pages = corpus()
+    assert found(spark, plain + pages, parameters=INDUCED) == set(range(len(plain), len(plain + pages)))
+    assert found(spark, plain + pages, parameters=ResidueParameters(known=False, instructions=False, pages=False)) == set()
+
+
+def test_a_page_within_one_message_only_is_no_page(spark):
+    plain, _ = corpus()
+    say = HEAD + "    Sivun hakeminen epäonnistui tänään\n" + DIFF
+    assert found(spark, [*plain, *[say] * 8], parameters=INDUCED) == set()
+
+
+def test_gibberish(spark):
+    plain, _ = corpus()
+    assert found(spark, [*plain * 3, HEAD + "    qwpe xcvk jhgt rtyu zmnq lkpw\n" + DIFF], parameters=INDUCED) == {len(plain) * 3}
+    # in a small table that words occur nowhere else says nothing
+    assert found(spark, [HEAD + "    these are words that occur once\n" + DIFF], parameters=INDUCED) == set()
+
+
+def test_long_places_and_one_repeated_word(spark):
+    long = "your " + "very " * 40 + "long text"
+    assert found(spark, [HEAD + f"    [{long}]\n" + DIFF, HEAD + "    zap zap zap zap\n" + DIFF, HEAD + "    fix cache\n" + DIFF], parameters=INDUCED) == {0, 1}
