@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 SEED = 20240229
 #: Counters that travel together as one array.
 CHUNK = 1024
-#: Chunks that are added up in one group, and teams of tasks whose sketches are added up first.
-BLOCK, TEAMS = 16, 256
+#: Chunks that are added up in one group, sketches that a group adds up at most, and rounds of that before the last one.
+BLOCK, TEAM, ROUNDS = 16, 256, 2
 #: Rows that a task hashes at once.
 BUFFER = 1 << 18
 
@@ -97,7 +97,10 @@ def _add_up(table: pa.Table) -> pa.Table:
     added = np.zeros((len(chunks), CHUNK), dtype=np.int64)
     np.add.at(added, back, table["cells"].combine_chunks().flatten().to_numpy().reshape(-1, CHUNK))
     cells = pa.ListArray.from_arrays(pa.array(np.arange(len(chunks) + 1, dtype=np.int32) * CHUNK), pa.array(added.reshape(-1)))
-    return pa.table({"chunk": pa.array(chunks), "cells": cells})
+    out = {"chunk": pa.array(chunks), "cells": cells}
+    if "team" in table.column_names:
+        out["team"] = pa.array(np.full(len(chunks), table["team"][0].as_py(), dtype=np.int32))
+    return pa.table(out)
 
 
 @dataclass(frozen=True)
@@ -135,14 +138,15 @@ class Sketch:
 def build_sketch(items: DataFrame, shape: SketchShape) -> Sketch:
     """Sketch of (hash BIGINT, weight BIGINT) rows. What comes to the driver has the sketch's fixed size.
 
-    Every task adds to one sketch of its own and hands on only counters in use; they are added up in two steps,
-    the first by groups of tasks, so that no task meets the sketches of all others at once.
+    Every task adds to one sketch of its own and hands on only counters in use. They are added up in rounds over teams
+    of ``TEAM`` tasks, then of as many teams, so a group holds that many times ``BLOCK`` chunks at most, for up to
+    ``TEAM`` to the power of the rounds tasks.
     """
-    parts = items.mapInArrow(_partial_sketches(shape), "chunk int, cells array<bigint>")
-    parts = parts.withColumn("team", F.pmod(F.spark_partition_id(), F.lit(TEAMS))).withColumn("block", F.floor(F.col("chunk") / BLOCK))
-    teams = parts.groupBy("block", "team").applyInArrow(_add_up, "chunk int, cells array<bigint>")
-    teams = teams.withColumn("block", F.floor(F.col("chunk") / BLOCK))
-    added = teams.groupBy("block").applyInArrow(_add_up, "chunk int, cells array<bigint>")
+    added = items.mapInArrow(_partial_sketches(shape), "chunk int, cells array<bigint>").withColumn("team", F.spark_partition_id())
+    for _ in range(ROUNDS):
+        dealt = added.select(F.floor(F.col("team") / TEAM).cast("int").alias("team"), F.floor(F.col("chunk") / BLOCK).alias("block"), "chunk", "cells")
+        added = dealt.groupBy("team", "block").applyInArrow(_add_up, "chunk int, cells array<bigint>, team int")
+    added = added.withColumn("block", F.floor(F.col("chunk") / BLOCK)).drop("team").groupBy("block").applyInArrow(_add_up, "chunk int, cells array<bigint>")
     counters = np.zeros((len(shape.levels), shape.depth, shape.width), dtype=np.int64)
     flat, total = counters.reshape(-1, CHUNK), 0
     for chunk, cells in added.toLocalIterator():

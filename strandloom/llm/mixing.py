@@ -54,18 +54,18 @@ class Mix:
     shares: DataFrame
 
 
-def mix(docs: DataFrame, doc: str, source: str, size: str, targets: Sequence[Target], total: int | None = None, schedule: Mapping[str, Sequence[tuple[float, float]]] | None = None, seed: int = 7) -> Mix:
+def mix(docs: DataFrame, doc: str, source: str, size: str, targets: Sequence[Target], total: int | str | None = None, schedule: Mapping[str, Sequence[tuple[float, float]]] | None = None, seed: int = 7) -> Mix:
     """Choose documents so that each source gives its share of ``total`` and order them along the schedule.
 
-    A source's demand is its share of ``total`` (default: the size of all documents of the target sources), or
-    all it has ``max_repeats`` times if that is less; what is missing then isn't made up by others, so they keep
+    A source's demand is its share of ``total`` (default: the size of all documents of the target sources; ``"largest"``:
+    the largest at which every source that has documents meets its share within its repeats), or all it has ``max_repeats`` times if that is less; what is missing then isn't made up by others, so they keep
     their proportions. Documents come in an order drawn by hash; the demand is met by whole rounds over them and
     then by the documents up to the rest, to the nearest document. The cumulative demand of a source over time
     is its integrated schedule; inverted at the cumulative size reached by a document it gives the document's
     training position, and all documents are range-sorted by it.
 
     ``chosen``: ``doc_id``, ``source``, ``copy`` (from 1), ``size``, ``position`` (0..1), sorted by position.
-    ``shares``: one row per target with what it could give and gave. Sources match after trimming and
+    ``shares``: one row per target with what it could give and gave, as share of all given and of ``total``. Sources match after trimming and
     lower-casing; documents with another or no source, or without size, aren't chosen. A NULL ``doc`` counts as
     a document; equal rows are documents of their own. Targets without documents have an actual share of 0.
     """
@@ -77,6 +77,8 @@ def mix(docs: DataFrame, doc: str, source: str, size: str, targets: Sequence[Tar
     rows = cut_lineage(rows.filter(F.col("source").isin(names) & (F.col("size") > 0)) if names else rows.limit(0))
     # one row per target source: bounded by the targets
     have = {r["source"]: (r["n"], r["size"]) for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).collect()}
+    if total == "largest":
+        total = min((t.max_repeats * have[t.source][1] / t.share for t in targets if t.source in have and t.share > 0), default=0)
     total = sum(s for _, s in have.values()) if total is None else total
     schedule = schedule or leaning_schedule(targets)
     plan = []
@@ -105,5 +107,5 @@ def mix(docs: DataFrame, doc: str, source: str, size: str, targets: Sequence[Tar
     all_given = given.agg(F.sum("given").alias("g")).scalar()
     shares = plans.select("source", "share", "max_repeats", F.col("n").alias("documents"), F.col("there").alias("size"), "wanted", "demand").join(given, "source", "left")
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("given", "copies", "most_uses", "documents_used")]
-    shares = shares.select("source", F.col("share").alias("target_share"), "max_repeats", "documents", "size", "wanted", *zero, (F.coalesce("given", F.lit(0)) / all_given).alias("actual_share"), (F.col("demand") < F.col("wanted")).alias("short"))
+    shares = shares.select("source", F.col("share").alias("target_share"), "max_repeats", "documents", "size", "wanted", *zero, (F.coalesce("given", F.lit(0)) / all_given).alias("actual_share"), F.try_divide(F.coalesce("given", F.lit(0)) * F.col("share"), F.col("wanted")).alias("share_of_total"), (F.col("demand") < F.col("wanted") * (1 - 1e-9)).alias("short"))
     return Mix(chosen.orderBy("position", "source", "doc_id", "copy"), shares)

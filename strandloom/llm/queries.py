@@ -66,7 +66,7 @@ def _mix(spark: SparkSession, folder: str) -> Mix:
     # a fixed table of a few sources
     rows = table(spark, folder, "mix_targets").filter("source is not null").orderBy("source").collect()
     targets = [Target(r["source"].strip(" ").lower(), float(r["target_share"]), int(r["max_repeats"])) for r in rows]
-    return mix(_sizes(spark, folder, "source"), "doc_id", "source", "tokens", targets)
+    return mix(_sizes(spark, folder, "source"), "doc_id", "source", "tokens", targets, total="largest")
 
 
 @QUERIES.add()

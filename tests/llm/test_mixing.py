@@ -63,3 +63,13 @@ def test_edges(spark):
     assert none.chosen.count() == 0 and none.shares.first()["given"] == 0
     with pytest.raises(ValueError):
         M.mix(df, "copy", "source", "tokens", [M.Target("a", 0.5, 1), M.Target("a", 0.5, 1)])
+
+
+def test_largest_total_meets_every_share(spark):
+    df, rows = docs(spark, {"a": 900, "b": 100, "c": 200})
+    targets = [M.Target("a", 0.5, 1), M.Target("b", 0.3, 4), M.Target("c", 0.19, 2), M.Target("d", 0.01, 3)]
+    shares = {r["source"]: r for r in M.mix(df, "copy", "source", "tokens", targets, total="largest").shares.collect()}
+    for s in "abc":
+        assert not shares[s]["short"] and abs(shares[s]["share_of_total"] - shares[s]["target_share"]) < 0.005
+    assert shares["d"]["given"] == 0
+    assert max(shares[t.source]["wanted"] / (t.max_repeats * shares[t.source]["size"]) for t in targets[:3]) > 0.999

@@ -72,3 +72,25 @@ def test_edges(spark):
     assert P.pack(df, "i", "n", []).count() == 0
     with pytest.raises(ValueError):
         P.pack(df, "i", "n", [("s", 0)])
+
+
+def test_repeated_and_null_ids_and_long_texts_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(P, "GROUP", 100)
+    r = random.Random(6)
+    rows = [(None, r.randint(1, 60)) for _ in range(600)] + [(7, r.randint(1, 60)) for _ in range(600)] + [(8, 1000 * 64 + 5), (9, 64 * 3)]
+    got = P.pack(spark.createDataFrame(rows, "id int, n int"), "id", "n", [("s", 64)]).collect()
+    fills = {}
+    for x in got:
+        fills.setdefault(x["container"], [0, x["fill"]])[0] += x["size"]
+    assert all(a == b and a <= 64 for a, b in fills.values())
+    assert sum(x["size"] for x in got) == sum(n for _, n in rows) and len(got) == 1200 + 1001 + 3
+    assert sorted(x["piece"] for x in got if x["item"] == 8) == list(range(1001))
+    at_once = P.best_fit(np.array([n if n <= 64 else n % 64 or 64 for _, n in rows]), 64).max() + 1 + 1000 + 2
+    assert len(fills) <= at_once * 1.03
+
+
+def test_items_above_half_the_capacity_end_the_rounds(spark, monkeypatch):
+    monkeypatch.setattr(P, "GROUP", 20)
+    monkeypatch.setattr(P, "CARRY", 10)
+    sizes = {i: 51 for i in range(300)}
+    assert check(P.pack(spark.createDataFrame(list(sizes.items()), "i int, n int"), "i", "n", [("s", 100)]).collect(), sizes, 100) == 300
