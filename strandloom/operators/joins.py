@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 #: Keys that are broadcast at most; beyond it the join shuffles.
 BROADCAST_KEYS = 500_000
 SALTS = 16
@@ -15,9 +17,10 @@ def semi_join(rows: DataFrame, keys: DataFrame, on: str, broadcast_keys: int = B
 
     ``keys`` holds each key once and is counted first: up to ``broadcast_keys`` fixed-width keys are broadcast,
     which bounds the size; beyond it both sides are shuffled on (key, salt), so a key that holds a third of the
-    rows is met by ``SALTS`` tasks. A NULL key matches nothing.
+    rows is met by ``SALTS`` tasks. What makes the keys runs once: they are written before they are counted. A NULL
+    key matches nothing.
     """
-    keys = keys.select(on)
+    keys = cut_lineage(keys.select(on))
     how = "left_anti" if anti else "left_semi"
     if keys.limit(broadcast_keys + 1).count() <= broadcast_keys:
         return rows.join(F.broadcast(keys), on, how)

@@ -35,8 +35,16 @@ with s as (select {_KEY.format('seqname_')} as seq_key from gff_element where {_
 select seq_key from s group by seq_key having count(*) * 25 >= (select count(*) from s)
 """)
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Sequences that hold at least 4 % of the usable records."""
-    return heavy_keys(_sequence_states(spark, folder), "seq_key", "n_left", (4, 100)).select("seq_key")
+    """Sequences that hold at least 4 % of the usable records.
+
+    Records meet the dictionary of names that both tables use: one state per spelling on either side, joined, the
+    counts multiplied and rolled up to the sequence that the dictionary gives the spelling.
+    """
+    elements = table(spark, folder, "gff_element").select(F.col("seqname_").alias("name"))
+    names = elements.unionByName(table(spark, folder, "brief_calls").select(F.col("chrom").alias("name"))).distinct()
+    names = names.filter(usable_sequence(F.col("name"))).select("name", sequence_key(F.col("name")).alias("seq_key"))
+    states = eager_join_aggregate(elements, names, ["name"], how="inner", roll_up=["seq_key"], right_attributes=["seq_key"])
+    return heavy_keys(states, "seq_key", "pairs", (4, 100)).select("seq_key")
 
 
 @annotation.add(f"""

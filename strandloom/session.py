@@ -30,12 +30,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read on from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where none is set, as in
-    tests on one machine, a temporary one is made.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where none is set and the session has
+    but one machine, as in tests, a temporary one is made. A cluster without one raises ValueError.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandloom-"))
     return df.checkpoint(eager=True)
 

@@ -42,3 +42,10 @@ def test_empty_sides(spark):
     assert eager_join_aggregate(none, some, ["k"], ["x"]).count() == 0
     assert rows(eager_join_aggregate(some, none, ["k"], ["x"], ["x"]))["a"]["right_sum_x"] == 0
     assert heavy_keys(eager_join_aggregate(none, none, ["k"]), "k", "n_left", (1, 25)).count() == 0
+
+
+def test_roll_up_to_what_the_other_side_says(spark):
+    left = spark.createDataFrame([("chr1", 1)] * 3 + [("1", 5)] * 4 + [("2", 1), (None, 1), ("x", 1)], "k string, x int")
+    right = spark.createDataFrame([("chr1", "1"), ("1", "1"), ("2", "2"), ("3", "3"), (None, "n")], "k string, g string")
+    up = eager_join_aggregate(left, right, ["k"], ["x"], how="inner", roll_up=["g"], right_attributes=["g"])
+    assert {r["g"]: (r["n_left"], r["pairs"], r["left_sum_x"]) for r in up.collect()} == {"1": (7, 7, 23), "2": (1, 1, 1)}
