@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from pathlib import Path
 
 
@@ -21,6 +21,18 @@ def read_ini(path: str | Path) -> dict[str, dict[str, str]]:
     return {k: v for k, v in sections.items() if k or v}
 
 
+# Keys of run files and the settings they stand for.
+KEYS = {
+    "gtf": "annotation", "kmerlen": "kmer_length", "readlen": "read_length", "kmerratio": "kmer_ratio", "maxsupportnum": "max_support",
+    "dodetection": "detect", "docomparison": "compare", "circrnadb": "database", "simulatorbenchmark": "truth",
+}
+# Keys of result files and the tools they are of.
+CALL_SETS = {
+    "myresult": "dbg", "ciriresult": "ciri", "circexplorerresult": "circexplorer", "findcircresult": "find_circ",
+    "circrnafinderresult": "circrna_finder", "circmarkerresult": "circmarker", "circrnadbresult": "database",
+}
+
+
 @dataclass(frozen=True)
 class EngineConfig:
     """Settings of a run; ratios are shares of 1."""
@@ -34,24 +46,36 @@ class EngineConfig:
     max_support: int = 999
     detect: bool = True
     compare: bool = False
+    database: str = ""
+    tissue: str = ""
+    truth: str = ""
     call_sets: dict[str, str] = field(default_factory=dict)
 
     @staticmethod
     def from_ini(path: str | Path) -> EngineConfig:
-        """Keys as fields of this class in any section, ``kmer_ratio`` in percent; [call_sets] maps tools to paths."""
+        """Keys as fields of this class or as in ``KEYS``, in any section and case, ``kmer_ratio`` in percent; [call_sets]
+        maps tools to paths, as do the keys in ``CALL_SETS``. A key that is none of these raises ValueError."""
         ini = read_ini(path)
-        flat = {k.strip().lower(): v.strip() for name, s in ini.items() if name != "call_sets" for k, v in s.items()}
+        flat = {KEYS.get(k.strip().lower(), k.strip().lower()): v.strip() for name, s in ini.items() if name != "call_sets" for k, v in s.items()}
+        sets = {k.strip(): v.strip() for k, v in ini.get("call_sets", {}).items()} | {CALL_SETS[k]: v for k, v in flat.items() if k in CALL_SETS and v}
+        if unknown := set(flat) - {f.name for f in fields(EngineConfig)} - {"reads1", "reads2", "threadsnum", *CALL_SETS}:
+            raise ValueError(f"unknown settings: {sorted(unknown)}")
+        reads = [*flat.get("reads", "").split(","), flat.get("reads1", ""), flat.get("reads2", "")]
+        yes = lambda k, default: flat.get(k, default).lower() in ("1", "true", "yes")
         return EngineConfig(
             reference=flat.get("reference", ""),
             annotation=flat.get("annotation", ""),
-            reads=tuple(x.strip() for x in flat.get("reads", "").split(",") if x.strip()),
+            reads=tuple(x.strip() for x in reads if x.strip()),
             kmer_length=int(flat.get("kmer_length", 15)),
             read_length=int(flat.get("read_length", 101)),
             kmer_ratio=float(flat.get("kmer_ratio", 60)) / 100,
             max_support=int(flat.get("max_support", 999)),
-            detect=flat.get("detect", "1") in ("1", "true", "yes"),
-            compare=flat.get("compare", "0") in ("1", "true", "yes"),
-            call_sets={k.strip(): v.strip() for k, v in ini.get("call_sets", {}).items()},
+            detect=yes("detect", "1"),
+            compare=yes("compare", "0"),
+            database=flat.get("database", ""),
+            tissue=flat.get("tissue", ""),
+            truth=flat.get("truth", ""),
+            call_sets=sets,
         ).checked()
 
     def checked(self) -> EngineConfig:
@@ -59,6 +83,8 @@ class EngineConfig:
             raise ValueError("kmer_length must be from 1 to 31")
         if self.read_length < 2 * self.kmer_length:
             raise ValueError("read_length must be two k-mers at least")
+        if self.max_support < 1:
+            raise ValueError("max_support must be 1 at least")
         if not 0 < self.kmer_ratio <= 1:
             raise ValueError("kmer_ratio must be above 0 and at most 100 percent")
         return self

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,15 +14,22 @@ from .scan import running_max, running_totals
 BLOCK = 1 << 16
 
 
-def ordinals(lines: DataFrame, file: str, line: str, feature: str) -> DataFrame:
+def ordinals(lines: DataFrame, file: str, line: str, feature: str, ties: Sequence[str] = ()) -> DataFrame:
     """Running numbers of genes, transcripts and exons in file order: ``gene_no``, ``tx_no``, ``exon_no`` (per file),
-    and ``exon_in_tx`` from 1 within a transcript. Other rows carry the numbers of the last gene, transcript, exon."""
+    and ``exon_in_tx`` from 1 within a transcript. Other rows carry the numbers of the last gene, transcript, exon.
+
+    Lines are in order of ``line`` and then ``ties``; blocks of lines are numbered apart and one row per block of a file
+    meets in a window, so a file is never gathered. Exons before the first transcript are numbered from the file's start.
+    """
     flag = lambda v: F.when(F.col(feature) == v, 1).otherwise(0)
+    order = [line, *ties]
     rows = lines.withColumns({"__g": flag("gene"), "__t": flag("transcript"), "__e": flag("exon"), "__block": F.floor(F.col(line) / BLOCK)})
-    rows = running_totals(rows, [file], "__block", [line], {"gene_no": "__g", "tx_no": "__t", "exon_no": "__e"})
-    first = Window.partitionBy(file, "tx_no")
-    rows = rows.withColumn("exon_in_tx", F.when(F.col("__e") == 1, F.col("exon_no") - F.min(F.when(F.col("__e") == 1, F.col("exon_no"))).over(first) + 1))
-    return rows.drop("__g", "__t", "__e", "__block")
+    rows = running_totals(rows, [file], "__block", order, {"gene_no": "__g", "tx_no": "__t", "exon_no": "__e"})
+    # exons before the transcript: known at its own line and carried on
+    rows = rows.withColumn("__at", F.when(F.col("__t") == 1, F.col("exon_no")).otherwise(0))
+    rows = running_max(rows, [file], "__block", order, "__before", "__at")
+    rows = rows.withColumn("exon_in_tx", F.when(F.col("__e") == 1, F.col("exon_no") - F.col("__before")))
+    return rows.drop("__g", "__t", "__e", "__block", "__at", "__before")
 
 
 def exon_numbers(exons: DataFrame, tx: list[str], start: str, end: str) -> DataFrame:
@@ -121,15 +130,31 @@ def nearest_gap(queries: DataFrame, refs: DataFrame, key: str) -> DataFrame:
 
 
 def first_container(inner: DataFrame, outer: DataFrame, key: str) -> DataFrame:
-    """The first (by os, oe, outer_id) interval of ``outer`` (outer_id, os, oe) that contains each of ``inner`` (id, is_, ie)."""
-    within = (F.col("os") <= F.col("is_")) & (F.col("ie") <= F.col("oe"))
-    pairs = interval_join(inner, outer, key, ("is_", "ie"), ("os", "oe"), within)
-    best = pairs.groupBy("id").agg(F.min(F.struct("os", "oe", "outer_id")).alias("b"))
-    return inner.select("id").join(best, "id", "left").select("id", F.col("b.outer_id").alias("outer_id"))
+    """The first (by os, oe, outer_id) interval of ``outer`` (outer_id, os, oe) that contains each of ``inner`` (id, is_, ie).
+
+    Only intervals that end beyond all before them can be the first to contain anything, and their starts and ends
+    rise together. So the first of them that ends at or after ``ie`` is the container, or there is none. Both steps are
+    running maxima over blocks; no pairs are made. A NULL key or bound is contained in nothing.
+    """
+    o = outer.filter("os <= oe").groupBy(key, "os", "oe").agg(F.min("outer_id").alias("outer_id")).withColumn("__block", F.floor(F.col("os") / BLOCK))
+    records = running_max(o, [key], "__block", ["os", "oe"], "__before", "oe", inclusive=False).filter("__before is null or oe > __before")
+    none = F.lit(None)
+    ends = records.select(key, (-F.col("oe")).alias("at"), F.lit(0).alias("kind"), (-F.col("oe")).alias("ref"), none.cast(inner.schema["id"].dataType).alias("id"), none.cast("bigint").alias("is_"))
+    asks = inner.filter(F.col(key).isNotNull() & F.col("ie").isNotNull()).select(key, (-F.col("ie")).alias("at"), F.lit(1).alias("kind"), none.cast("bigint").alias("ref"), "id", "is_")
+    rows = ends.unionByName(asks).withColumn("__block", F.floor(F.col("at") / BLOCK))
+    # counted backwards from the end, the last one seen is the first that ends at or after ie
+    seen = running_max(rows, [key], "__block", ["at", "kind"], "next", "ref").filter("kind = 1")
+    hit = seen.select(key, "id", "is_", (-F.col("next")).alias("oe")).join(records.select(key, "oe", "os", "outer_id"), [key, "oe"]).filter(F.col("os") <= F.col("is_"))
+    return inner.select("id").join(hit.select("id", "outer_id"), "id", "left").select("id", "outer_id")
 
 
 def two_base_signals(exons: DataFrame, genome: DataFrame, chrom: str = "chrom") -> DataFrame:
-    """Exons with ``head2`` and ``tail2``, the two bases before and after them; genome is (chrom, seq)."""
-    joined = exons.join(genome.select(chrom, F.upper("seq").alias("seq")), chrom)
-    return joined.select(*exons.columns, F.substr("seq", F.greatest(F.col("start_pos") - 2, F.lit(1)), F.lit(2)).alias("head2"), F.substr("seq", F.col("end_pos") + 1, F.lit(2)).alias("tail2"))
+    """Exons with ``head2`` and ``tail2``, the two bases before and after them; genome is (chrom, seq).
 
+    A chromosome goes by the first word of its name. Exons without a sequence are left out; at a sequence's ends
+    there are fewer bases.
+    """
+    g = genome.select(F.substring_index(F.col(chrom).cast("string"), " ", 1).alias("__chrom"), F.upper("seq").alias("__genome"))
+    joined = exons.join(g, exons[chrom].cast("string") == F.col("__chrom"))
+    head = F.substr("__genome", F.greatest(F.col("start_pos") - 2, F.lit(1)).cast("int"), F.least(F.col("start_pos") - 1, F.lit(2)).cast("int"))
+    return joined.select(*[exons[c] for c in exons.columns], head.alias("head2"), F.substr("__genome", (F.col("end_pos") + 1).cast("int"), F.lit(2)).alias("tail2"))

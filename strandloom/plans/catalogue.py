@@ -7,10 +7,11 @@ from .classify_queries import classification
 from .compare_queries import comparison
 from .detect_queries import detection
 from .interval_queries import intervals
+from .report_queries import reports
 from .sequence_queries import sequences
 from .registry import Registry
 
-PARTS: list[Registry] = [annotation, sequences, intervals, comparison, detection, classification]
+PARTS: list[Registry] = [annotation, sequences, intervals, comparison, detection, classification, reports]
 
 
 def queries() -> dict:

@@ -20,6 +20,15 @@ def junction_references(donors: DataFrame, acceptors: DataFrame, on: list[str],
     return j.select(*on, *[c for c in j.columns if c not in (*on, "d", "a")], F.concat(left, F.left("a", F.lit(read_length))).alias("ref"), F.length(left).alias("breakpoint"))
 
 
+def alignment_references(donors: DataFrame, acceptors: DataFrame, on: list[str], read_length: int = 101) -> DataFrame:
+    """(on, kind, ref, breakpoint): the junction as in ``junction_references``, and the whole donor and acceptor, which have
+    no breakpoint (-1)."""
+    j = junction_references(donors, acceptors, on, read_length).select(*on, F.lit("junction").alias("kind"), "ref", "breakpoint")
+    pair = donors.join(acceptors, on)
+    whole = lambda kind, c: pair.select(*on, F.lit(kind).alias("kind"), F.col(c).alias("ref"), F.lit(-1).alias("breakpoint"))
+    return j.unionByName(whole("donor_self", "d")).unionByName(whole("acceptor_self", "a"))
+
+
 def circular_references(exons: DataFrame, chrom_seq: DataFrame) -> DataFrame:
     """Per pair of bounds (chrom, start_pos, end_pos, left_end, right_start): right exon + left exon, and right exon
     + whole span; ``poor`` if the junction is shorter than 101 bases."""

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.annotation import first_container
 from ..operators.bands import band_join, representatives
 from ..operators.folds import leader_clusters
 
@@ -87,3 +88,58 @@ def boundary_hits(calls: DataFrame, exons: DataFrame, tolerance: int = TOLERANCE
     flags = both.groupBy(*PLACE).agg(F.lit(True).alias("both"), F.bool_or(F.col("a") == F.col("b")).alias("same_exon"))
     out = calls.select("call_id", *PLACE).join(flags, PLACE, "left")
     return out.select("call_id", F.coalesce("both", F.lit(False)).alias("both"), F.coalesce("same_exon", F.lit(False)).alias("same_exon"))
+
+
+def exact_calls(calls: DataFrame, truth: DataFrame) -> DataFrame:
+    """Calls at exactly a place of ``truth``."""
+    return calls.join(truth.select(*PLACE).distinct(), PLACE, "left_semi")
+
+
+def one_side(left: DataFrame, right: DataFrame, tolerance: int = 7) -> DataFrame:
+    """Pairs of distinct places of one chromosome that are near at their starts, at their ends, or both, each once."""
+    at = lambda end: band_join(left.select(*PLACE), right.select(*PLACE), ["chrom"], [end], tolerance)
+    both = F.abs(F.col("start_pos") - F.col("r_start_pos")) <= tolerance
+    return at("start_pos").unionByName(at("end_pos").filter(~both)).drop("r_chrom")
+
+
+def hit_ratio(calls: DataFrame, database: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
+    """Per tool: places, those that the database has, and their share."""
+    p = places(calls)
+    hits = hit_calls(p, database, tolerance).groupBy("tool").agg(F.count(F.lit(1)).alias("hits"))
+    own = p.groupBy("tool").agg(F.count(F.lit(1)).alias("places")).join(hits, "tool", "left").na.fill(0, ["hits"])
+    return own.select("tool", "places", "hits", (F.col("hits") / F.col("places")).alias("ratio"))
+
+
+def containment(calls: DataFrame, exons: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
+    """Per call: the first gene around it, the first of its transcripts around it, and for either end whether it lies in
+    an exon, else in an intron of that transcript, and how far from that one's nearer edge (``away``).
+
+    Calls (call_id, chrom, start_pos, end_pos), exons (chrom, gene_id, tx_id, start_pos, end_pos). First is by start, end
+    and id; bounds are widened by ``tolerance``. Without a gene or transcript what follows is NULL. A gene's transcripts
+    and a transcript's exons are bounded by the annotation.
+    """
+    gene = exons.groupBy("chrom", "gene_id").agg(F.min("start_pos").alias("s"), F.max("end_pos").alias("e"))
+    tx = exons.groupBy("chrom", "gene_id", "tx_id").agg(F.min("start_pos").alias("ts"), F.max("end_pos").alias("te"))
+    c = calls.select(F.col("call_id").alias("id"), "chrom", F.col("start_pos").cast("bigint").alias("is_"), F.col("end_pos").cast("bigint").alias("ie"))
+    outer = gene.select("chrom", F.col("gene_id").alias("outer_id"), (F.col("s") - tolerance).alias("os"), (F.col("e") + tolerance).alias("oe"))
+    g = c.join(first_container(c, outer, "chrom").filter("outer_id is not null").withColumnRenamed("outer_id", "gene_id"), "id")
+    inside = g.join(tx, ["chrom", "gene_id"]).filter((F.col("is_") >= F.col("ts") - tolerance) & (F.col("ie") <= F.col("te") + tolerance))
+    t = inside.groupBy("id", "chrom", "gene_id", "is_", "ie").agg(F.min(F.struct("ts", "te", "tx_id"))["tx_id"].alias("tx_id"))
+    w = Window.partitionBy("chrom", "tx_id").orderBy("start_pos", "end_pos")
+    x = exons.select("chrom", "tx_id", "start_pos", "end_pos", F.lag("end_pos").over(w).alias("before"))
+    p = t.select("id", "chrom", "tx_id", F.inline(F.array(F.struct(F.lit("l").alias("side"), F.col("is_").alias("at")), F.struct(F.lit("r").alias("side"), F.col("ie").alias("at")))))
+    nearer = lambda a, b: F.when(F.col("at").between(F.col(a) - tolerance, F.col(b) + tolerance), F.least(F.abs(F.col("at") - F.col(a)), F.abs(F.col(b) - F.col("at"))))
+    k = p.join(x, ["chrom", "tx_id"]).groupBy("id", "side").agg(F.min(nearer("start_pos", "end_pos")).alias("exon"), F.min(nearer("before", "start_pos")).alias("intron"))
+    place = F.when(F.col("exon").isNotNull(), "exon").when(F.col("intron").isNotNull(), "intron").otherwise("none")
+    k = k.select("id", "side", F.struct(place.alias("place"), F.coalesce("exon", "intron").alias("away")).alias("x"))
+    k = k.groupBy("id").agg(F.max(F.when(F.col("side") == "l", F.col("x"))).alias("l"), F.max(F.when(F.col("side") == "r", F.col("x"))).alias("r"))
+    out = c.select("id").join(g.select("id", "gene_id"), "id", "left").join(t.select("id", "tx_id"), "id", "left").join(k, "id", "left")
+    return out.select(F.col("id").alias("call_id"), "gene_id", "tx_id", F.col("l.place").alias("left_place"), F.col("l.away").alias("left_away"), F.col("r.place").alias("right_place"), F.col("r.away").alias("right_away"))
+
+
+def distance_classes(chain: DataFrame, hit: int = TOLERANCE, near: int = 200) -> DataFrame:
+    """Calls by the places of their ends and whether one end hits an edge with the other near one, both are near, or neither."""
+    l, r = F.col("left_away"), F.col("right_away")
+    away = F.when(((l <= hit) & (r <= near)) | ((l <= near) & (r <= hit)), "edge").when((l <= near) & (r <= near), "near").otherwise("other")
+    none = [F.coalesce(c, F.lit("none")).alias(c) for c in ("left_place", "right_place")]
+    return chain.select(*none, away.alias("away")).groupBy("left_place", "right_place", "away").agg(F.count(F.lit(1)).alias("n"))

@@ -72,6 +72,34 @@ def tool_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return C.metrics(c.filter("tool <> 'circexplorer'"), c.filter("tool = 'circexplorer'"))
 
 
+def _folded(rows: str, reach: int, moves: bool) -> str:
+    """SQL that folds ``rows`` (chrom, s, e, w, rn from 1 per chrom) in order into ``folded`` (chrom, x: s, e, n, w): each joins
+    the first element near it or becomes one; with ``moves`` a shorter one gives the element its place."""
+    near = f"list_position(list_transform(els, lambda x: abs(x.s - r.s) <= {reach} and abs(x.e - r.e) <= {reach}), true)"
+    shorter = "r.e - r.s < x.e - x.s" if moves else "false"
+    gain = f"{{'s': case when {shorter} then r.s else x.s end, 'e': case when {shorter} then r.e else x.e end, 'n': x.n + 1, 'w': x.w + r.w}}".replace("r.", "q.")
+    return f"""{rows},
+    steps as (select chrom, cast(0 as bigint) as rn, cast([] as struct(s bigint, e bigint, n bigint, w bigint)[]) as els from (select distinct chrom from r)
+        union all select q.chrom, q.rn, case when i = 0 then list_append(els, {{'s': q.s, 'e': q.e, 'n': cast(1 as bigint), 'w': q.w}}) else list_transform(els, lambda x, k: case when k = i then {gain} else x end) end
+        from (select r.*, els, coalesce({near}, 0) as i from steps join r on r.chrom = steps.chrom and r.rn = steps.rn + 1) q),
+    folded as (select chrom, unnest(els) as x from (select chrom, arg_max(els, rn) as els from steps group by chrom))"""
+
+
+def _ordered(source: str, weight: str, order: str) -> str:
+    return f"r as (select chrom, cast(start_pos as bigint) as s, cast(end_pos as bigint) as e, cast(coalesce({weight}, 0) as bigint) as w, row_number() over (partition by chrom order by {order}, start_pos, end_pos) as rn from {source})"
+
+
+_REPLICATED = f"""{inputs.CALLS}, rep as (select tool, chrom, start_pos, end_pos, call_id % 2 as rep, count(*) as copies from calls group by all),
+shared as (select a.tool, a.chrom, a.start_pos, a.end_pos, cast(sum(a.copies * b.copies) as bigint) as pairs from rep a join rep b on a.rep = 0 and b.rep = 1 and a.tool = b.tool and {_NEAR} group by all)"""
+_ALL_SHARED = f"{inputs.CALLS}, shared as (select tool, chrom, start_pos, end_pos, cast(count(*) as bigint) as pairs from calls group by all)"
+_BENCH = ", bench as (select chrom, x.s as start_pos, x.e as end_pos, x.n as members, x.w as support from folded where x.n >= 2)"
+_SCORES = f"""{_BENCH}, near as (select distinct a.tool, a.chrom, a.start_pos, a.end_pos, b.start_pos as bs, b.end_pos as be from shared a join bench b on {_NEAR}),
+m as (select o.tool, o.shared, coalesce(l.n, 0) as in_benchmark, coalesce(r.n, 0) as benchmark_found, (select count(*) from bench) as benchmark from (select tool, count(*) as shared from shared group by tool) o
+    left join (select tool, count(distinct (chrom, start_pos, end_pos)) as n from near group by tool) l on o.tool = l.tool left join (select tool, count(distinct (chrom, bs, be)) as n from near group by tool) r on o.tool = r.tool),
+s as (select *, in_benchmark / shared as accuracy, case when benchmark > 0 then benchmark_found / benchmark end as sensitivity from m)
+select *, case when accuracy + sensitivity > 0 then 2 * accuracy * sensitivity / (accuracy + sensitivity) else 0 end as f1 from s"""
+
+
 def _shared(spark: SparkSession, folder: str) -> DataFrame:
     return C.replicate_intersection(inputs.calls(spark, folder).withColumn("replicate", F.col("call_id") % 2), "replicate")
 
@@ -85,27 +113,34 @@ def replicate_intersect(spark: SparkSession, folder: str) -> DataFrame:
     return _shared(spark, folder)
 
 
-@comparison.add()
+@comparison.add("with recursive " + _folded(f"{_ALL_SHARED}, " + _ordered("shared", "pairs", "start_pos, end_pos, tool"), 10, False) + f"{_BENCH} select * from bench")
 def consensus_benchmark(spark: SparkSession, folder: str) -> DataFrame:
     """Places that several tools share, by leader clustering."""
     calls = inputs.calls(spark, folder)
     return C.benchmark(C.places(calls).withColumnRenamed("copies", "pairs"))
 
 
-@comparison.add()
+@comparison.add("with recursive " + _folded(f"{_ALL_SHARED}, " + _ordered("shared", "pairs", "start_pos, end_pos, tool"), 10, False) + _SCORES)
 def consensus_f1(spark: SparkSession, folder: str) -> DataFrame:
     """Accuracy, sensitivity and F1 of the tools against the benchmark they make."""
     p = C.places(inputs.calls(spark, folder)).withColumnRenamed("copies", "pairs")
     return C.consensus_scores(p, cut_lineage(C.benchmark(p)))
 
 
-@comparison.add()
+@comparison.add("with recursive " + _folded(f"{_REPLICATED}, " + _ordered("shared", "pairs", "start_pos, end_pos, tool"), 10, False) + _SCORES)
+def consensus_replicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Replicates intersected per tool, the benchmark of what tools share, and the tools' scores against it."""
+    shared = cut_lineage(_shared(spark, folder))
+    return C.consensus_scores(shared, cut_lineage(C.benchmark(shared)))
+
+
+@comparison.add("with recursive " + _folded(f"{inputs.CALLS}, " + _ordered("calls", "support", "call_id"), 7, True) + " select chrom, x.s as start_pos, x.e as end_pos, x.w as support from folded")
 def support_merge(spark: SparkSession, folder: str) -> DataFrame:
     """Near calls merged in order of arrival, with their support added up."""
     return merge_support(inputs.calls(spark, folder), "chrom", ["call_id"], "support")
 
 
-@comparison.add()
+@comparison.add("with recursive " + _folded(f"{inputs.CALLS}, " + _ordered("calls", "support", "call_id"), 10, False) + " select chrom, x.s as start_pos, x.e as end_pos, x.n as members, x.w as support from folded")
 def similar_self_dedupe(spark: SparkSession, folder: str) -> DataFrame:
     """Calls that no earlier kept one is near to."""
     return drop_later_similar(inputs.calls(spark, folder), "chrom", ["call_id"], "support")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.seq import reverse_complement
-from ..operators.folds import fold_clusters, support_fold
+from ..functions.seq import donor_acceptor_signal, reverse_complement
+from ..operators.annotation import two_base_signals
+from ..operators.folds import merge_support
 from ..operators.links import EXON, exon_links
 from ..session import cut_lineage
 from .walk import supports
@@ -19,6 +20,17 @@ SAMPLES = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
 EXTRA = (0.15, 0.85)
 
 
+def with_signals(exons: DataFrame, genome: DataFrame) -> DataFrame:
+    """Exons (chrom, gene_id, tx_id, exon_no, start_pos, end_pos, strand) with their ``seq`` and whether the bases beside them
+    are splice signals: ``head_signal``, ``tail_signal``. ``genome`` is (chrom, seq), by the first word of its names."""
+    e = two_base_signals(exons, genome)
+    head, tail = donor_acceptor_signal(F.col("head2"), F.col("tail2"), F.col("strand"))
+    g = genome.select(F.substring_index(F.col("chrom").cast("string"), " ", 1).alias("__chrom"), F.upper("seq").alias("__genome"))
+    e = e.withColumns({"head_signal": F.coalesce(head, F.lit(False)), "tail_signal": F.coalesce(tail, F.lit(False))}).join(g, F.col("chrom").cast("string") == F.col("__chrom"))
+    seq = F.substr("__genome", F.col("start_pos").cast("int"), (F.col("end_pos") - F.col("start_pos") + 1).cast("int"))
+    return e.select(*exons.columns, seq.alias("seq"), "head_signal", "tail_signal")
+
+
 def usable_reads(reads: DataFrame, read_length: int, k: int) -> DataFrame:
     """Reads (read_id, seq) of nearly the full length, of two k-mers at least and without unknown bases."""
     s = F.upper("seq")
@@ -37,7 +49,7 @@ def strand_vote(reads: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return joined.select("read_id", "chrom", "orient", F.when(F.col("orient") == "+", F.col("seq")).otherwise(reverse_complement(F.col("seq"))).alias("seq"))
 
 
-def seed_hits(voted: DataFrame, links: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+def seed_hits(voted: DataFrame, links: DataFrame, nodes: DataFrame, k: int, on: DataFrame | None = None) -> DataFrame:
     """(read_id, chrom, side, exon, n, kmer): exons hit by most seeds of a side, two at least, with the first seed."""
     last = F.length("seq") - k
     offsets = {"head": [F.lit(x) for x in (1, 5, k, int(1.5 * k))], "tail": [last - x for x in (1, 5, k, int(1.5 * k))]}
@@ -47,7 +59,7 @@ def seed_hits(voted: DataFrame, links: DataFrame, nodes: DataFrame, k: int) -> D
     ahead = F.instr(F.substr("seq", F.col("at") + 1, F.length("seq")), F.col("first_next")) > 0
     behind = F.instr(F.substr("seq", F.lit(1), F.col("at") + k), F.col("first_pre")) > 0
     s = s.filter(F.when(F.col("side") == "head", ahead).otherwise(behind)).select("read_id", "chrom", "side", "ord", "kmer")
-    on = links.select(*EXON, "kmer").distinct()
+    on = links.select(*EXON, "kmer").distinct() if on is None else on
     hits = s.join(on, ["chrom", "kmer"]).groupBy("read_id", "side", *EXON).agg(F.count(F.lit(1)).alias("n"), F.min_by("kmer", "ord").alias("kmer"))
     best = F.max("n").over(Window.partitionBy("read_id", "chrom", "side"))
     hits = hits.withColumn("best", best).filter("n = best and n >= 2").drop("best")
@@ -89,7 +101,7 @@ def candidates(hits: DataFrame, links: DataFrame, exons: DataFrame, read_length:
     )
 
 
-def purified(cands: DataFrame, voted: DataFrame, links: DataFrame, exons: DataFrame, k: int) -> DataFrame:
+def purified(cands: DataFrame, voted: DataFrame, links: DataFrame, exons: DataFrame, k: int, on: DataFrame | None = None) -> DataFrame:
     """At most two candidates per read and kind: those with most links, then most extra nodes."""
     around = exons.select(*EXON, (F.col("end_pos") - F.col("start_pos") + 1).alias("own"))
     w = Window.partitionBy("chrom", "gene_id", "tx_id").orderBy("exon_no")
@@ -103,7 +115,7 @@ def purified(cands: DataFrame, voted: DataFrame, links: DataFrame, exons: DataFr
     c = c.filter(~((F.col("r") == 1) & (F.col("s") == 1) & (F.col("beside") == 1)) & ~((F.col("s") == 1) & F.col("repeat")))
     at = F.array(*[F.floor((F.length("seq") - k) * x).cast("int") for x in EXTRA])
     extra = voted.select("read_id", "chrom", F.explode(at).alias("at"), "seq").select("read_id", "chrom", F.substr("seq", F.col("at") + 1, F.lit(k)).alias("kmer"), "at")
-    on = extra.join(links.select(*EXON, "kmer").distinct(), ["chrom", "kmer"]).select("read_id", "at", *EXON)
+    on = extra.join(links.select(*EXON, "kmer").distinct() if on is None else on, ["chrom", "kmer"]).select("read_id", "at", *EXON)
     d, a = on.withColumnRenamed("exon_no", "donor"), on.withColumnRenamed("exon_no", "acceptor")
     key = ["read_id", "chrom", "gene_id", "tx_id"]
     cd = c.select(*key, "circ_type", "donor", "acceptor")
@@ -118,7 +130,7 @@ def purified(cands: DataFrame, voted: DataFrame, links: DataFrame, exons: DataFr
     return c.filter("left <= 2 and not (circ_type = 'S' and left = 2 and lengths = 1)").drop("of_kind", "best", "least", "least_extra", "left", "lengths", "r", "s", "beside", "repeat", "before", "after")
 
 
-def verified(cands: DataFrame, voted: DataFrame, links: DataFrame, k: int) -> DataFrame:
+def verified(cands: DataFrame, voted: DataFrame, links: DataFrame, k: int, ratio: float = 0.6) -> DataFrame:
     """Candidates whose read runs through the donor's end into the acceptor's start."""
     # an exon's nodes in order as three texts: k-mers end to end, their tags, their segments; at most twice the
     # reach of a read
@@ -146,43 +158,55 @@ def verified(cands: DataFrame, voted: DataFrame, links: DataFrame, k: int) -> Da
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            good = [supports(s, links_of(*x[:3]), links_of(*x[3:]), t == "S", k) for s, t, *x in zip(b["seq"], b["circ_type"], *[b[c] for c in texts])]
+            good = [supports(s, links_of(*x[:3]), links_of(*x[3:]), t == "S", k, ratio) for s, t, *x in zip(b["seq"], b["circ_type"], *[b[c] for c in texts])]
             yield b.loc[good, kept]
 
     return rows.select(*rows.columns).mapInPandas(run, schema)
 
 
-def detect(reads: DataFrame, exons: DataFrame, read_length: int = 101, k: int = 15) -> DataFrame:
-    """Back-splice junctions: chrom, start_pos, end_pos, support, circ_type.
+def detected_reads(reads: DataFrame, exons: DataFrame, read_length: int = 101, k: int = 15, ratio: float = 0.6) -> DataFrame:
+    """One row per read and junction that it runs over: read_id, chrom, circ_type, orient, the read's seq in that
+    orientation, donor_end, acceptor_start, strand, gene_id, tx_id, donor and acceptor (exon numbers).
 
     ``reads`` (read_id, seq); ``exons`` (chrom, gene_id, tx_id, exon_no, start_pos, end_pos, strand, seq,
     head_signal, tail_signal). Every read is tried on every chromosome it has nodes on. Exons without either
-    signal aren't indexed. Support is merged in order of reads, self and regular junctions apart; a regular one
-    with the same sum of bounds as a self one is left out. No reads or no exons give no rows.
+    signal, or shorter than k, aren't indexed. No reads or no exons give no rows.
     """
     indexed = exons.filter("head_signal or tail_signal")
     links = cut_lineage(exon_links(indexed, read_length, k))
     order = F.struct("gene_id", "tx_id", "exon_no", "segment", "pos")
     nodes = links.groupBy("chrom", "kmer").agg(F.min_by("next_kmer", order).alias("first_next"), F.min_by("pre_kmer", order).alias("first_pre"))
+    on = cut_lineage(links.select(*EXON, "kmer").distinct())
     voted = cut_lineage(strand_vote(usable_reads(reads, read_length, k), nodes, k))
-    hits = seed_hits(voted, links, nodes, k)
+    hits = seed_hits(voted, links, nodes, k, on)
     cands = cut_lineage(candidates(hits, links, exons, read_length, k))
     same = exons.select("chrom", "gene_id", "tx_id", "exon_no", F.xxhash64("seq").alias("h"))
-    pure = purified(cands, voted, links, exons, k)
+    pure = purified(cands, voted, links, exons, k, on)
     pure = pure.join(same.withColumnsRenamed({"exon_no": "donor", "h": "dh"}), ["chrom", "gene_id", "tx_id", "donor"]).join(same.withColumnsRenamed({"exon_no": "acceptor", "h": "ah"}), ["chrom", "gene_id", "tx_id", "acceptor"])
     pure = pure.filter("circ_type = 'S' or dh <> ah").drop("dh", "ah")
-    ok = verified(pure, voted, links, k)
-    found = ok.select("read_id", "chrom", "circ_type", F.least("donor_end", "acceptor_start").alias("start_pos"), F.greatest("donor_end", "acceptor_start").alias("end_pos"), F.lit(1).alias("one")).distinct()
-    found = cut_lineage(found.withColumn("place", F.struct("chrom", "circ_type")))
-    merged = fold_clusters(found, "place", ["read_id"], "one", 7, support_fold, "support bigint")
+    ok = verified(pure, voted, links, k, ratio)
+    return ok.join(voted.select("read_id", "chrom", "orient", "seq"), ["read_id", "chrom"]).select("read_id", "chrom", "circ_type", "orient", "seq", "donor_end", "acceptor_start", "strand", "gene_id", "tx_id", "donor", "acceptor")
+
+
+def junctions(found: DataFrame) -> DataFrame:
+    """Junctions (chrom, circ_type, start_pos, end_pos, support) of detected reads.
+
+    Support is merged in order of reads, self and regular junctions apart; a regular one with the same sum of
+    bounds as a self one is left out.
+    """
+    found = found.select("read_id", "chrom", "circ_type", F.least("donor_end", "acceptor_start").alias("start_pos"), F.greatest("donor_end", "acceptor_start").alias("end_pos"), F.lit(1).alias("one")).distinct()
+    merged = merge_support(found.withColumn("place", F.struct("chrom", "circ_type")), "place", ["read_id"], "one")
     merged = merged.select("place.chrom", "place.circ_type", "start_pos", "end_pos", "support").withColumn("total", F.col("start_pos") + F.col("end_pos"))
     own = merged.filter("circ_type = 'S'").select("chrom", "total").distinct()
     regular = merged.filter("circ_type = 'R'").join(own, ["chrom", "total"], "left_anti")
     return merged.filter("circ_type = 'S'").unionByName(regular.select(*merged.columns)).drop("total")
 
 
-def signal_columns(strand: Column, head2: Column, tail2: Column) -> list[Column]:
-    from ..functions.seq import donor_acceptor_signal
+def detect(reads: DataFrame, exons: DataFrame, read_length: int = 101, k: int = 15, ratio: float = 0.6, max_support: int | None = None) -> DataFrame:
+    """Back-splice junctions: chrom, start_pos, end_pos, support, circ_type (see ``detected_reads`` and ``junctions``).
 
-    head, tail = donor_acceptor_signal(head2, tail2, strand)
-    return [F.coalesce(head, F.lit(False)).alias("head_signal"), F.coalesce(tail, F.lit(False)).alias("tail_signal")]
+    ``ratio`` is the share of a read's nodes from which the number that must be met follows; with ``max_support``
+    junctions of more reads are left out.
+    """
+    out = junctions(detected_reads(reads, exons, read_length, k, ratio))
+    return out if max_support is None else out.filter(F.col("support") <= max_support)

@@ -124,3 +124,54 @@ def planted(exons_: DataFrame, read_length: int = 101) -> tuple[DataFrame, DataF
     reads = cut.select((F.col("chrom") * 1000 + F.col("left") + F.when(F.col("circ_type") == "S", 500).otherwise(0)).alias("read_id"), seq.alias("seq"))
     truth = j.select("chrom", "circ_type", F.least("start_pos", "end_pos").alias("start_pos"), F.greatest("start_pos", "end_pos").alias("end_pos"))
     return reads, truth
+
+
+def genome_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """(chrom, seq) out of all k-mers in order of their ids, 128 to a chromosome: with repeats, and runs of N where a
+    string has other letters."""
+    k = table(spark, folder, "st_kmerinfo").select("iid", F.regexp_replace(F.upper("strseq"), "[^ACGT]", "N").alias("kmer")).filter("kmer is not null")
+    parts = k.groupBy(F.floor(F.col("iid") / 128).alias("chrom")).agg(F.array_sort(F.collect_list(F.struct("iid", "kmer"))).alias("p"))
+    return parts.select("chrom", F.array_join(F.transform("p", lambda x: x["kmer"]), "").alias("seq"))
+
+
+def spliced_exons(genome_: DataFrame) -> DataFrame:
+    """Up to six exons per chromosome of ``genome_whole``, most between splice signals and every fourth between any bases.
+
+    Chromosomes alternate in strand; exons are numbered in reading direction, ``at`` is their order along the chromosome.
+    """
+    g = genome_.select("chrom", "seq", F.when(F.col("chrom") % 2 == 0, "+").otherwise("-").alias("strand"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("at"))
+    g = g.withColumns({"base": 41 + 280 * F.col("at"), "before": F.when(F.col("strand") == "+", "AG").otherwise("AC"), "after": F.when(F.col("strand") == "+", "GT").otherwise("CT")})
+    any_ = F.col("at") % 4 == 3
+    g = g.withColumn("start_pos", F.when(any_, F.col("base")).otherwise(F.expr("locate(before, seq, cast(base as int))") + 2))
+    g = g.withColumn("least", F.col("start_pos") + 100 + (F.col("chrom") * 7 + F.col("at") * 13) % 80)
+    g = g.withColumn("end_pos", F.when(any_, F.col("least")).otherwise(F.expr("locate(after, seq, cast(least as int))") - 1))
+    g = g.filter((F.col("start_pos") >= F.col("base")) & (F.col("start_pos") <= F.col("base") + 42) & (F.col("end_pos") >= F.col("least") - 1) & (F.col("end_pos") <= F.col("least") + 30) & (F.col("end_pos") + 2 <= F.length("seq")))
+    return g.select(
+        "chrom", F.col("chrom").alias("gene_id"), F.lit(0).alias("tx_id"), F.when(F.col("strand") == "+", F.col("at")).otherwise(5 - F.col("at")).alias("exon_no"), "at",
+        F.col("start_pos").cast("bigint").alias("start_pos"), F.col("end_pos").cast("bigint").alias("end_pos"), "strand",
+    )
+
+
+def hard_reads(exons_: DataFrame, read_length: int = 101) -> tuple[DataFrame, DataFrame]:
+    """(reads, junctions): reads over back-splices between exons that have the signals, and others that are over none.
+
+    Junctions are every other exon onto itself, and every exon onto the one two before it along the chromosome. Three
+    reads lie over each, one of them with a wrong base and one reversed and complemented. Reads over the splices
+    between neighbours and from within exons are over no back-splice.
+    """
+    from ..functions.seq import reverse_complement
+
+    e = exons_.select("chrom", "at", "start_pos", "end_pos", "seq", "head_signal", "tail_signal")
+    d = e.select("chrom", F.col("at").alias("d"), "end_pos", F.col("seq").alias("ds"), "tail_signal")
+    a = e.select("chrom", F.col("at").alias("a"), "start_pos", F.col("seq").alias("as"), "head_signal")
+    pairs = d.join(a, "chrom")
+    kind = F.when((F.col("d") == F.col("a")) & (F.col("d") % 2 == 1), "S").when(F.col("d") == F.col("a") + 2, "R").when(F.col("d") == F.col("a") - 1, "L")
+    pairs = pairs.withColumn("circ_type", kind).filter("circ_type is not null and (circ_type = 'L' or (tail_signal and head_signal))")
+    cut = pairs.select("*", F.posexplode(F.array(F.lit(46), F.lit(50), F.lit(55))).alias("way", "left"))
+    seq = F.concat(F.right("ds", F.col("left")), F.left("as", read_length - F.col("left")))
+    wrong = F.concat(F.left(seq, F.lit(19)), F.translate(F.substr(seq, F.lit(20), F.lit(1)), "ACGT", "CATG"), F.substr(seq, F.lit(21), F.lit(read_length)))
+    seq = F.when(F.col("way") == 1, wrong).when(F.col("way") == 2, reverse_complement(seq)).otherwise(seq)
+    over = cut.select(F.xxhash64("chrom", "d", "a", "way").alias("read_id"), seq.alias("seq"))
+    inside = e.select(F.xxhash64("chrom", "at", F.lit("inside")).alias("read_id"), F.left("seq", F.lit(read_length)).alias("seq"))
+    truth = pairs.filter("circ_type <> 'L'").select("chrom", "circ_type", F.least("start_pos", "end_pos").alias("start_pos"), F.greatest("start_pos", "end_pos").alias("end_pos"))
+    return over.unionByName(inside), truth

@@ -142,8 +142,8 @@ cast(case when feature = 'exon' then exon_no - min(case when feature = 'exon' th
 def file_ordinals(spark: SparkSession, folder: str) -> DataFrame:
     """Running numbers of genes, transcripts and exons along annotation files."""
     rows = check_lines(table(spark, folder, "gtf_line").select("line_id", "gff_file", "line_no", "line")).filter(F.size("cells") == 9)
-    rows = rows.select("line_id", "gff_file", (F.col("line_no").cast("bigint") * 2**20 + F.pmod("line_id", F.lit(2**20))).alias("at"), F.get("cells", F.lit(2)).alias("feature"))
-    return A.ordinals(rows, "gff_file", "at", "feature").select("line_id", "gene_no", "tx_no", "exon_no", "exon_in_tx")
+    rows = rows.select("line_id", "gff_file", "line_no", F.get("cells", F.lit(2)).alias("feature"))
+    return A.ordinals(rows, "gff_file", "line_no", "feature", ["line_id"]).select("line_id", "gene_no", "tx_no", "exon_no", "exon_in_tx")
 
 
 def _attributes(spark: SparkSession, folder: str) -> DataFrame:
@@ -152,15 +152,15 @@ def _attributes(spark: SparkSession, folder: str) -> DataFrame:
 
 @intervals.add()
 def attribute_columns_wide(spark: SparkSession, folder: str) -> DataFrame:
-    """Attributes as one column per name."""
-    return attribute_columns(_attributes(spark, folder), "id_vec", ["gene_id", "transcript_id", "exon_number", "gene_name", "gene_biotype"])
+    """Attributes as one column per name that is in use."""
+    return attribute_columns(_attributes(spark, folder), "id_vec")
 
 
 @intervals.add()
 def attribute_fixed_and_rest(spark: SparkSession, folder: str) -> DataFrame:
-    """Attributes beyond the first two as rows, with the first two beside them."""
+    """The first two attributes of each field, with those beyond them as rows (one without any, if there are none)."""
     fixed, rest = fixed_and_rest(_attributes(spark, folder), "id_vec")
-    return rest.join(fixed, "id_vec")
+    return fixed.join(rest, "id_vec", "left")
 
 
 @intervals.add(f"with {inputs.EXONS} select chrom, gene_id, cast(count(distinct tx_id) as int) as transcripts, cast(count(*) as bigint) as exons, min(start_pos) as first_start from exons group by chrom, gene_id")

@@ -58,8 +58,11 @@ def _match(read: str, saved: list[tuple[str, str]], forward: bool, k: int, shift
     return hits, at, seen
 
 
-def supports(read: str, donor: dict[str, list], acceptor: dict[str, list], is_self: bool, k: int) -> bool:
-    """Whether the read runs off the end of the donor exon into the beginning of the acceptor exon."""
+def supports(read: str, donor: dict[str, list], acceptor: dict[str, list], is_self: bool, k: int, ratio: float = 0.6) -> bool:
+    """Whether the read runs off the end of the donor exon into the beginning of the acceptor exon.
+
+    ``ratio``: of a read's nodes that should be met; two fifths of these must be saved on the way.
+    """
     n = len(read) - k + 1
     first = next((read[i : i + k] for i in range(n) if read[i : i + k] in donor), None)
     last = next((read[i : i + k] for i in range(n - 1, -1, -1) if read[i : i + k] in acceptor), None)
@@ -70,7 +73,7 @@ def supports(read: str, donor: dict[str, list], acceptor: dict[str, list], is_se
     if min(to_tail[1], to_head[1]) < LEAST_STEPS:
         return False
     tail_saved, head_saved = to_tail[2], to_head[2]
-    if len(tail_saved) + len(head_saved) < int(n * 0.24):
+    if len(tail_saved) + len(head_saved) < int(n * ratio * 0.4):
         if sum(t == "T" for _, t in tail_saved) < 2 or sum(t == "H" for _, t in head_saved) < 2:
             return False
     tail = _match(read, tail_saved, True, k, not is_self) if to_tail[0] == 0 else (0, None, set())

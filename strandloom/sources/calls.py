@@ -81,16 +81,77 @@ def first_of_each(calls: DataFrame, keys: list[str], order: list[str]) -> DataFr
 
 
 def read_details(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of ``key: value`` lines that end in ***: candidate, donor, acceptor and the read's sequence."""
-    blocks = spark.read.option("lineSep", "***").text(path).filter(F.trim("value") != "")
-    pair = lambda key, k: F.regexp_extract("value", rf"(?i){key}[^\n\d]*(\d+)[^\d\n]+(\d+)", k).try_cast("int")
-    one = lambda key: F.trim(F.regexp_extract("value", rf"(?im)^\s*{key}\s*:?\s*(.*)$", 1))
+    """Blocks of labelled lines that end in ``***``: one row per read and candidate.
+
+    The first line has the bounds of the donor exon before ``--`` and those of the acceptor exon after it; the older
+    form of a block without CircType gives NULL there. Blank blocks are left out, missing labels give NULL.
+    """
+    blocks = spark.read.option("lineSep", "***").text(path).select(F.regexp_replace("value", r"\r", "").alias("value")).filter(F.col("value").rlike(r"\S"))
+    whole = lambda pattern, k=1: F.regexp_extract("value", pattern, k).try_cast("int")
+    word = lambda label: F.nullif(F.regexp_extract("value", rf"(?m)^[ \t]*{label}:[ \t]*(\S+)[ \t]*$", 1), F.lit(""))
+    exons = r"(?m)^[ \t]*Donor[^\n]*?:[ \t]*\((\d+), *(\d+)\) *-- *\((\d+), *(\d+)\)"
+    bounds = r"(?m)^[ \t]*Candi Start & End: *(\d+) *: *(\d+)"
     return blocks.select(
-        F.struct(pair("donor", 1).alias("start"), pair("donor", 2).alias("end")).alias("donor"), F.struct(pair("acceptor", 1).alias("start"), pair("acceptor", 2).alias("end")).alias("acceptor"),
-        pair("candidate", 1).alias("cand_start"), pair("candidate", 2).alias("cand_end"), one("chrom(?:osome)?").alias("chrom"), F.regexp_extract("value", r"(?m)^\s*([ACGTNacgtn]{20,})\s*$", 1).alias("read_seq"),
+        F.struct(whole(exons, 1).alias("start"), whole(exons, 2).alias("end")).alias("donor"),
+        F.struct(whole(exons, 3).alias("start"), whole(exons, 4).alias("end")).alias("acceptor"),
+        whole(bounds, 1).alias("cand_start"), whole(bounds, 2).alias("cand_end"), (word("RC") == "Yes").alias("rc"), word("Chrom").alias("chrom"),
+        (word("Current Reads") == "RC").alias("read_rc"), word("CircType").try_cast("int").alias("circ_type"), F.nullif(F.regexp_extract("value", r"(?m)^[ \t]*([A-Za-z]+)[ \t]*$", 1), F.lit("")).alias("read_seq"),
     )
 
 
+def detail_blocks(rows: DataFrame) -> DataFrame:
+    """Rows as read_details gives them, written as blocks (``value``, with line breaks inside)."""
+    pair = lambda c: F.format_string("(%d, %d)", F.col(f"{c}.start"), F.col(f"{c}.end"))
+    lines = [
+        F.concat(F.lit("Donor(Start, End) & Acceptor(Start, End): "), pair("donor"), F.lit(" -- "), pair("acceptor")),
+        F.format_string("Candi Start & End: %d : %d", "cand_start", "cand_end"),
+        F.concat(F.lit("RC: "), F.when(F.col("rc"), "Yes").otherwise("No")),
+        F.concat(F.lit("Chrom: "), F.col("chrom")),
+        F.concat(F.lit("Current Reads: "), F.when(F.col("read_rc"), "RC").otherwise("Reg")),
+        F.concat(F.lit("CircType: "), F.col("circ_type").cast("string")),
+        F.col("read_seq"),
+        F.lit("***"),
+    ]
+    return rows.select(F.concat_ws("\n", *lines).alias("value"))
+
+
+def candidate_report(calls: DataFrame) -> DataFrame:
+    """(chrom, part, value): lines of the report per chromosome, by ``part``: counts, self, regular, duplicates.
+
+    A regular candidate with the same sum of bounds as a self one of its chromosome is counted as a duplicate and not
+    listed. ``calls`` are (chrom, start_pos, end_pos, support, circ_type). One row per line, so that a chromosome's
+    list isn't gathered; write it partitioned by chromosome and sorted by part.
+    """
+    c = calls.filter("circ_type in ('S', 'R')").withColumn("total", F.col("start_pos") + F.col("end_pos"))
+    own = c.filter("circ_type = 'S'").select("chrom", "total").distinct().withColumn("own", F.lit(True))
+    c = c.join(own, ["chrom", "total"], "left").withColumn("twice", (F.col("circ_type") == "R") & F.coalesce("own", F.lit(False)))
+    n = c.groupBy("chrom").agg(F.count_if(F.col("circ_type") == "S").alias("s"), F.count_if(F.col("circ_type") == "R").alias("r"), F.count_if("twice").alias("d"))
+    part = lambda k, v: F.struct(F.lit(k).alias("part"), v.alias("value"))
+    heads = F.array(
+        part("0", F.format_string("Self Circular RNA   : %d", "s")),
+        part("1", F.format_string("Regular Circular RNA: %d", "r")),
+        part("2", F.format_string("Total RNA Number    : %d", F.col("s") + F.col("r"))),
+        part("5", F.format_string("Duplicated Num: %d", "d")),
+    )
+    rows = c.filter("not twice").select("chrom", F.when(F.col("circ_type") == "S", "3").otherwise("4").alias("part"), F.concat(F.col("chrom").cast("string"), F.format_string("\t<%d, %d>\t%d", "start_pos", "end_pos", F.coalesce("support", F.lit(0)))).alias("value"))
+    return n.select("chrom", F.inline(heads)).unionByName(rows)
+
+
+def untagged_lines(calls: DataFrame) -> DataFrame:
+    """Brief lines of all calls of whatever type, without their tags."""
+    return calls.select(F.concat_ws(" ", "chrom", "start_pos", "end_pos", F.coalesce("support", F.lit(0)), F.lit("xx"), "circ_type").alias("value"))
+
+
+def database_lines(rows: DataFrame) -> DataFrame:
+    """Brief lines of database records: a record has no support, its length stands for it."""
+    return rows.select(F.concat_ws(" ", "chrom", "start_pos", "end_pos", F.abs(F.col("start_pos") - F.col("end_pos")), F.lit("xx"), "circ_type").alias("value"))
+
+
+def in_order_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """(``key``, first): each key once with the first ``order`` it was seen at; sort by it for the order of appearance."""
+    return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("first"))
+
+
 def brief_lines(calls: DataFrame) -> DataFrame:
     """Lines of the brief format; only types S and R, and R without its tag."""
     tag = F.when(F.col("circ_type") == "S", F.col("tag")).otherwise("xx")

@@ -38,9 +38,20 @@ def attribute_rows(rows: DataFrame, row_id: str, field: str = "attributes") -> D
     return split_packed(rows, row_id, field, PackedFormat())
 
 
-def attribute_columns(attributes: DataFrame, row_id: str, names: list[str]) -> DataFrame:
-    """One column per name, NULL where a row lacks it; the last of repeated names stays."""
+def attribute_names(attributes: DataFrame, limit: int = 1000) -> list[str]:
+    """The names in use, sorted: what becomes columns. More than ``limit`` are no columns any more and raise ValueError."""
+    names = [r["attr_name"] for r in attributes.select("attr_name").filter("attr_name is not null").distinct().limit(limit + 1).collect()]
+    if len(names) > limit:
+        raise ValueError(f"there are more than {limit} attribute names")
+    return sorted(names)
+
+
+def attribute_columns(attributes: DataFrame, row_id: str, names: list[str] | None = None) -> DataFrame:
+    """One column per name (default: all in use), NULL where a row lacks it; the last of repeated names stays."""
+    names = attribute_names(attributes) if names is None else names
     picks = [F.max_by("attr_value", F.when(F.col("attr_name") == n, F.col("pos"))).alias(n) for n in names]
+    if not picks:
+        return attributes.select(row_id).distinct()
     return attributes.filter(F.col("attr_name").isin(names)).groupBy(row_id).agg(*picks)
 
 

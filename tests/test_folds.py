@@ -60,3 +60,23 @@ def test_interval_join_pairs_once(spark):
     got = [(r["i"], r["j"]) for r in interval_join(a, b, "k", ("s", "e"), ("t", "f"), F.lit(True), bin_size=16).collect()]
     want = [(p[1], q[1]) for p in x for q in y if p[0] == q[0] and p[2] <= q[3] and q[2] <= p[3]]
     assert sorted(got) == sorted(want)
+
+
+def test_moving_elements_are_folded_row_by_row(spark):
+    # the element moves from 100 over 106 to 112, away from its first place, whose later row then stands alone
+    rows = [(1, "a", 100, 300, 1), (2, "a", 106, 300, 1), (3, "a", 112, 300, 1), (4, "a", 100, 300, 1), (5, "b", 100, 300, 1), (6, "b", 104, 300, 1), (7, "b", 100, 300, 1)]
+    df = spark.createDataFrame(rows, "id int, chrom string, start_pos int, end_pos int, support int")
+    assert sorted(map(tuple, merge_support(df, "chrom", ["id"], "support").collect())) == per_chrom(rows, support_fold) == [("a", 100, 300, 1), ("a", 112, 300, 3), ("b", 104, 300, 3)]
+    for seed in range(8):
+        many = [(i, c, s, s + n, w) for i, (_, c, s, n, w) in enumerate((0, random.Random(seed * 99 + j).choice("ab"), random.Random(seed * 77 + j).randint(0, 60), 300 - random.Random(seed * 55 + j).randint(0, 60), 1) for j in range(120))]
+        df = spark.createDataFrame(many, "id int, chrom string, start_pos int, end_pos int, support int")
+        assert sorted(map(tuple, merge_support(df, "chrom", ["id"], "support").collect())) == per_chrom(many, support_fold)
+
+
+def test_a_place_with_most_rows_is_one_row(spark):
+    from strandloom.operators.folds import _places
+
+    df = spark.range(50000).selectExpr("id", "'a' as chrom", "cast(if(id % 100 = 0, 400 + id % 700, 100) as int) as start_pos", "cast(900 as int) as end_pos", "1 as support")
+    assert _places(df, "chrom", ["id"], "support", 7).count() <= 8
+    got = {(r["start_pos"], r["support"]) for r in merge_support(df, "chrom", ["id"], "support").collect()}
+    assert (100, 49500) in got and sum(n for _, n in got) == 50000
