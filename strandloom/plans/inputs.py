@@ -127,10 +127,11 @@ def planted(exons_: DataFrame, read_length: int = 101) -> tuple[DataFrame, DataF
 
 
 def genome_whole(spark: SparkSession, folder: str) -> DataFrame:
-    """(chrom, seq) out of all k-mers in order of their ids, 128 to a chromosome: with repeats, and runs of N where a
-    string has other letters."""
-    k = table(spark, folder, "st_kmerinfo").select("iid", F.regexp_replace(F.upper("strseq"), "[^ACGT]", "N").alias("kmer")).filter("kmer is not null")
-    parts = k.groupBy(F.floor(F.col("iid") / 128).alias("chrom")).agg(F.array_sort(F.collect_list(F.struct("iid", "kmer"))).alias("p"))
+    """(chrom, seq) out of all k-mers in order of their ids, 128 rows to a chromosome: the same stretches come back in other
+    chromosomes, and where a string has other letters there is a run of N."""
+    k = table(spark, folder, "st_kmerinfo").select(F.floor(F.col("iid") / 128).alias("chrom"), "iid", F.regexp_replace(F.upper("strseq"), "[^ACGT]", "N").alias("kmer"))
+    k = k.filter("kmer is not null").groupBy("chrom", "kmer").agg(F.min("iid").alias("iid"))
+    parts = k.groupBy("chrom").agg(F.array_sort(F.collect_list(F.struct("iid", "kmer"))).alias("p"))
     return parts.select("chrom", F.array_join(F.transform("p", lambda x: x["kmer"]), "").alias("seq"))
 
 
@@ -156,8 +157,8 @@ def hard_reads(exons_: DataFrame, read_length: int = 101) -> tuple[DataFrame, Da
     """(reads, junctions): reads over back-splices between exons that have the signals, and others that are over none.
 
     Junctions are every other exon onto itself, and every exon onto the one two before it along the chromosome. Three
-    reads lie over each, one of them with a wrong base and one reversed and complemented. Reads over the splices
-    between neighbours and from within exons are over no back-splice.
+    reads lie over each, one of them with a wrong base and one reversed and complemented. No junction lies within 55
+    bases of an unknown one. Reads over the splices between neighbours and from within exons are over no back-splice.
     """
     from ..functions.seq import reverse_complement
 
@@ -167,6 +168,7 @@ def hard_reads(exons_: DataFrame, read_length: int = 101) -> tuple[DataFrame, Da
     pairs = d.join(a, "chrom")
     kind = F.when((F.col("d") == F.col("a")) & (F.col("d") % 2 == 1), "S").when(F.col("d") == F.col("a") + 2, "R").when(F.col("d") == F.col("a") - 1, "L")
     pairs = pairs.withColumn("circ_type", kind).filter("circ_type is not null and (circ_type = 'L' or (tail_signal and head_signal))")
+    pairs = pairs.filter(~F.contains(F.concat(F.right("ds", F.lit(55)), F.left("as", F.lit(55))), F.lit("N")))
     cut = pairs.select("*", F.posexplode(F.array(F.lit(46), F.lit(50), F.lit(55))).alias("way", "left"))
     seq = F.concat(F.right("ds", F.col("left")), F.left("as", read_length - F.col("left")))
     wrong = F.concat(F.left(seq, F.lit(19)), F.translate(F.substr(seq, F.lit(20), F.lit(1)), "ACGT", "CATG"), F.substr(seq, F.lit(21), F.lit(read_length)))

@@ -60,3 +60,37 @@ def test_chains(spark):
     df = spark.createDataFrame([("a", p) for p in (1, 3, 3, 9, 17, 30)] + [("b", 4)], "k string, p int")
     got = {(r["k"], r["p"]): r["chain"] for r in chains(df, ["k"], "p", 8, size=4).collect()}
     assert got == {("a", 1): 1, ("a", 3): 1, ("a", 9): 1, ("a", 17): 1, ("a", 30): 2, ("b", 4): 1}
+
+
+def test_ordinals_block_by_block(spark):
+    import random
+
+    from strandloom.operators import annotation as A
+
+    r = random.Random(4)
+    lines = [("f" if r.random() < 0.9 else "g", i * 40000 // 1000 * 1000, (1 << 20) + i, r.choice(["gene", "transcript", "exon", "exon", "CDS"])) for i in range(300)]
+    df = spark.createDataFrame(lines, "file string, line bigint, line_id bigint, feature string")
+    assert df.filter("file = 'f'").selectExpr("floor(line / 65536) as b").distinct().count() > 50  # one file, many blocks
+    got = {x["line_id"]: (x["gene_no"], x["tx_no"], x["exon_no"], x["exon_in_tx"]) for x in A.ordinals(df, "file", "line", "feature", ["line_id"]).collect()}
+    n = {}
+    for f, _, i, kind in sorted(lines, key=lambda x: (x[1], x[2])):
+        c = n.setdefault(f, [0, 0, 0, 0])
+        if kind == "transcript":
+            c[3] = 0
+        for k, v in enumerate(("gene", "transcript", "exon", "exon")):
+            c[k] += kind == v
+        assert got[i] == (c[0], c[1], c[2], c[3] if kind == "exon" else None)
+
+
+def test_first_container_is_the_plain_search(spark):
+    import random
+
+    from strandloom.operators import annotation as A
+
+    r = random.Random(7)
+    outer = [(i, r.choice("xy"), s, s + r.choice([0, 10, 100, 200000])) for i in range(200) for s in [r.randint(0, 300000)]]
+    inner = [(i, r.choice("xyz"), s, s + r.choice([0, 5, 50, 1000])) for i in range(300) for s in [r.randint(0, 300000)]] + [(900, None, 1, 2), (901, "x", 5, 5)]
+    o = spark.createDataFrame(outer, "outer_id int, k string, os bigint, oe bigint")
+    i = spark.createDataFrame(inner, "id int, k string, is_ bigint, ie bigint")
+    want = {n: min(((a, b, m) for m, kk, a, b in outer if kk == k and a <= s and e <= b), default=(0, 0, None))[2] for n, k, s, e in inner}
+    assert {x["id"]: x["outer_id"] for x in A.first_container(i, o, "k").collect()} == want
