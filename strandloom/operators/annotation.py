@@ -148,8 +148,8 @@ def first_container(inner: DataFrame, outer: DataFrame, key: str) -> DataFrame:
     return inner.select("id").join(hit.select("id", "outer_id"), "id", "left").select("id", "outer_id")
 
 
-def two_base_signals(exons: DataFrame, genome: DataFrame, chrom: str = "chrom") -> DataFrame:
-    """Exons with ``head2`` and ``tail2``, the two bases before and after them; genome is (chrom, seq).
+def two_base_signals(exons: DataFrame, genome: DataFrame, chrom: str = "chrom", with_seq: bool = False) -> DataFrame:
+    """Exons with ``head2`` and ``tail2``, the two bases before and after them (``with_seq``: and their own ``seq``); genome is (chrom, seq).
 
     A chromosome goes by the first word of its name. Exons without a sequence are left out; at a sequence's ends
     there are fewer bases.
@@ -157,4 +157,5 @@ def two_base_signals(exons: DataFrame, genome: DataFrame, chrom: str = "chrom")
     g = genome.select(F.substring_index(F.col(chrom).cast("string"), " ", 1).alias("__chrom"), F.upper("seq").alias("__genome"))
     joined = exons.join(g, exons[chrom].cast("string") == F.col("__chrom"))
     head = F.substr("__genome", F.greatest(F.col("start_pos") - 2, F.lit(1)).cast("int"), F.least(F.col("start_pos") - 1, F.lit(2)).cast("int"))
-    return joined.select(*[exons[c] for c in exons.columns], head.alias("head2"), F.substr("__genome", (F.col("end_pos") + 1).cast("int"), F.lit(2)).alias("tail2"))
+    seq = F.substr("__genome", F.col("start_pos").cast("int"), (F.col("end_pos") - F.col("start_pos") + 1).cast("int"))
+    return joined.select(*[exons[c] for c in exons.columns], head.alias("head2"), F.substr("__genome", (F.col("end_pos") + 1).cast("int"), F.lit(2)).alias("tail2"), *([seq.alias("seq")] if with_seq else []))

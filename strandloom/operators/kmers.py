@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.seq import canonical, encode_kmer, neighbours
+from ..functions.seq import BASES, canonical, encode_kmer, neighbours
 
 #: Bases per chunk before k-mers are cut, so that a cut never reaches far into a long text.
 CHUNK = 256
+#: Bases that are encoded at once.
+STRETCH = 1 << 21
 
 
 def kmers(seqs: DataFrame, seq: str, k: int, keep: tuple[str, ...] = (), positions: bool = False) -> DataFrame:
@@ -26,6 +32,52 @@ def kmers(seqs: DataFrame, seq: str, k: int, keep: tuple[str, ...] = (), positio
     return cut if positions else cut.drop("pos")
 
 
+def _codes(text: bytes, k: int) -> np.ndarray:
+    """Codes of all windows of ``k`` bases, two bits a base, first base highest; windows with other letters left out."""
+    digit = np.full(256, 4, dtype=np.int64)
+    for i, b in enumerate(BASES):
+        digit[ord(b)] = digit[ord(b.lower())] = i
+    d = digit[np.frombuffer(text, dtype=np.uint8)]
+    n = len(d) - k + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64)
+    code = np.zeros(n, dtype=np.int64)
+    for j in range(k):
+        code = code * 4 + (d[j : j + n] & 3)
+    wrong = np.concatenate([[0], np.cumsum(d == 4)])
+    return code[wrong[k:] == wrong[:-k]]
+
+
+def sequence_kmer_counts(seqs: DataFrame, seq: str, k: int) -> DataFrame:
+    """(code, n) per k-mer of all sequences, any case, k up to 31. NULL and short sequences give none.
+
+    Sequences are encoded and counted in stretches inside tasks, so that sixteen bytes per distinct k-mer of a stretch
+    are shuffled instead of its text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(text: bytes) -> pa.RecordBatch:
+            code, n = np.unique(_codes(text, k), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], names=["code", "n"])
+
+        held, size = [], 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                text = text.encode()
+                # a long text in stretches that overlap by k - 1
+                for at in range(0, max(1, len(text) - k + 1), STRETCH):
+                    held.append(text[at : at + STRETCH + k - 1])
+                    size += len(held[-1])
+                    if size >= STRETCH:
+                        yield counted(b" ".join(held))
+                        held, size = [], 0
+        if held:
+            yield counted(b" ".join(held))
+
+    parts = seqs.select(seq).filter(F.length(seq) >= k).mapInArrow(run, "code bigint, n bigint")
+    return parts.groupBy("code").agg(F.sum("n").alias("n"))
+
+
 def kmer_counts(rows: DataFrame, kmer: str, weight: str | None = None) -> DataFrame:
     """(code, n) per k-mer: texts are counted first and encoded last."""
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)

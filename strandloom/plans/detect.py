@@ -23,12 +23,9 @@ EXTRA = (0.15, 0.85)
 def with_signals(exons: DataFrame, genome: DataFrame) -> DataFrame:
     """Exons (chrom, gene_id, tx_id, exon_no, start_pos, end_pos, strand) with their ``seq`` and whether the bases beside them
     are splice signals: ``head_signal``, ``tail_signal``. ``genome`` is (chrom, seq), by the first word of its names."""
-    e = two_base_signals(exons, genome)
+    e = two_base_signals(exons, genome, with_seq=True)
     head, tail = donor_acceptor_signal(F.col("head2"), F.col("tail2"), F.col("strand"))
-    g = genome.select(F.substring_index(F.col("chrom").cast("string"), " ", 1).alias("__chrom"), F.upper("seq").alias("__genome"))
-    e = e.withColumns({"head_signal": F.coalesce(head, F.lit(False)), "tail_signal": F.coalesce(tail, F.lit(False))}).join(g, F.col("chrom").cast("string") == F.col("__chrom"))
-    seq = F.substr("__genome", F.col("start_pos").cast("int"), (F.col("end_pos") - F.col("start_pos") + 1).cast("int"))
-    return e.select(*exons.columns, seq.alias("seq"), "head_signal", "tail_signal")
+    return e.select(*exons.columns, "seq", F.coalesce(head, F.lit(False)).alias("head_signal"), F.coalesce(tail, F.lit(False)).alias("tail_signal"))
 
 
 def usable_reads(reads: DataFrame, read_length: int, k: int) -> DataFrame:
@@ -49,8 +46,14 @@ def strand_vote(reads: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return joined.select("read_id", "chrom", "orient", F.when(F.col("orient") == "+", F.col("seq")).otherwise(reverse_complement(F.col("seq"))).alias("seq"))
 
 
+def node_exons(links: DataFrame) -> DataFrame:
+    """(exon, kmer, tags): each k-mer of an exon once, with the segments, positions and tags it has there."""
+    return links.groupBy(*EXON, "kmer").agg(F.array_sort(F.collect_list(F.struct("segment", "pos", "tag"))).alias("tags"))
+
+
 def seed_hits(voted: DataFrame, links: DataFrame, nodes: DataFrame, k: int, on: DataFrame | None = None) -> DataFrame:
-    """(read_id, chrom, side, exon, n, kmer): exons hit by most seeds of a side, two at least, with the first seed."""
+    """(read_id, chrom, side, exon, n, kmer, tags): exons hit by most seeds of a side, two at least, with the first seed and
+    where it lies on the exon."""
     last = F.length("seq") - k
     offsets = {"head": [F.lit(x) for x in (1, 5, k, int(1.5 * k))], "tail": [last - x for x in (1, 5, k, int(1.5 * k))]}
     seeds = F.array(*[F.struct(F.lit(side).alias("side"), F.lit(i).alias("ord"), o.cast("int").alias("at")) for side, offs in offsets.items() for i, o in enumerate(offs)])
@@ -59,8 +62,9 @@ def seed_hits(voted: DataFrame, links: DataFrame, nodes: DataFrame, k: int, on:
     ahead = F.instr(F.substr("seq", F.col("at") + 1, F.length("seq")), F.col("first_next")) > 0
     behind = F.instr(F.substr("seq", F.lit(1), F.col("at") + k), F.col("first_pre")) > 0
     s = s.filter(F.when(F.col("side") == "head", ahead).otherwise(behind)).select("read_id", "chrom", "side", "ord", "kmer")
-    on = links.select(*EXON, "kmer").distinct() if on is None else on
-    hits = s.join(on, ["chrom", "kmer"]).groupBy("read_id", "side", *EXON).agg(F.count(F.lit(1)).alias("n"), F.min_by("kmer", "ord").alias("kmer"))
+    on = node_exons(links) if on is None else on
+    hits = s.join(on, ["chrom", "kmer"]).groupBy("read_id", "side", *EXON).agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("kmer", "tags"), "ord").alias("first"))
+    hits = hits.select("read_id", "side", *EXON, "n", "first.kmer", "first.tags")
     best = F.max("n").over(Window.partitionBy("read_id", "chrom", "side"))
     hits = hits.withColumn("best", best).filter("n = best and n >= 2").drop("best")
     twice = F.count(F.lit(1)).over(Window.partitionBy("read_id", "side", "chrom", "gene_id", "tx_id"))
@@ -70,15 +74,13 @@ def seed_hits(voted: DataFrame, links: DataFrame, nodes: DataFrame, k: int, on:
     return hits.withColumn("vetoed", vetoed).filter("vetoed = 1").drop("twice", "vetoed")
 
 
-def candidates(hits: DataFrame, links: DataFrame, exons: DataFrame, read_length: int, k: int) -> DataFrame:
+def candidates(hits: DataFrame, exons: DataFrame, read_length: int, k: int) -> DataFrame:
     """Per read: self candidates (one exon end to its own start) and regular ones (a later exon's end to an earlier start).
 
     Exons carry start_pos, end_pos, strand, head_signal, tail_signal.
     """
-    tags = links.select(*EXON, "kmer", "segment", "pos", "tag")
-    lit = hits.join(tags, [*EXON, "kmer"]).groupBy("read_id", "side", *EXON).agg(F.array_sort(F.collect_list(F.struct("segment", "pos", "tag"))).alias("tags"))
     place = exons.select(*EXON, "start_pos", "end_pos", "strand", "head_signal", "tail_signal", (F.col("end_pos") - F.col("start_pos") + 1).alias("length"))
-    lit = lit.join(place, EXON)
+    lit = hits.select("read_id", "side", *EXON, "tags").join(place, EXON)
 
     def side(name: str, to: str) -> DataFrame:
         d = lit.filter(F.col("side") == name)
@@ -115,7 +117,7 @@ def purified(cands: DataFrame, voted: DataFrame, links: DataFrame, exons: DataFr
     c = c.filter(~((F.col("r") == 1) & (F.col("s") == 1) & (F.col("beside") == 1)) & ~((F.col("s") == 1) & F.col("repeat")))
     at = F.array(*[F.floor((F.length("seq") - k) * x).cast("int") for x in EXTRA])
     extra = voted.select("read_id", "chrom", F.explode(at).alias("at"), "seq").select("read_id", "chrom", F.substr("seq", F.col("at") + 1, F.lit(k)).alias("kmer"), "at")
-    on = extra.join(links.select(*EXON, "kmer").distinct() if on is None else on, ["chrom", "kmer"]).select("read_id", "at", *EXON)
+    on = extra.join(node_exons(links) if on is None else on, ["chrom", "kmer"]).select("read_id", "at", *EXON)
     d, a = on.withColumnRenamed("exon_no", "donor"), on.withColumnRenamed("exon_no", "acceptor")
     key = ["read_id", "chrom", "gene_id", "tx_id"]
     cd = c.select(*key, "circ_type", "donor", "acceptor")
@@ -176,10 +178,10 @@ def detected_reads(reads: DataFrame, exons: DataFrame, read_length: int = 101, k
     links = cut_lineage(exon_links(indexed, read_length, k))
     order = F.struct("gene_id", "tx_id", "exon_no", "segment", "pos")
     nodes = links.groupBy("chrom", "kmer").agg(F.min_by("next_kmer", order).alias("first_next"), F.min_by("pre_kmer", order).alias("first_pre"))
-    on = cut_lineage(links.select(*EXON, "kmer").distinct())
+    on = cut_lineage(node_exons(links))
     voted = cut_lineage(strand_vote(usable_reads(reads, read_length, k), nodes, k))
     hits = seed_hits(voted, links, nodes, k, on)
-    cands = cut_lineage(candidates(hits, links, exons, read_length, k))
+    cands = cut_lineage(candidates(hits, exons, read_length, k))
     same = exons.select("chrom", "gene_id", "tx_id", "exon_no", F.xxhash64("seq").alias("h"))
     pure = purified(cands, voted, links, exons, k, on)
     pure = pure.join(same.withColumnsRenamed({"exon_no": "donor", "h": "dh"}), ["chrom", "gene_id", "tx_id", "donor"]).join(same.withColumnsRenamed({"exon_no": "acceptor", "h": "ah"}), ["chrom", "gene_id", "tx_id", "acceptor"])

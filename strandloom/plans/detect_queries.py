@@ -91,7 +91,7 @@ def seed_vote_argmax(spark: SparkSession, folder: str) -> DataFrame:
     """Exons hit by most seeds of either side of a read."""
     _, reads, _, links, nodes = _prepared(spark, folder)
     voted = D.strand_vote(D.usable_reads(reads, 101, 15), nodes, 15)
-    return D.seed_hits(voted, links, nodes, 15)
+    return D.seed_hits(voted, links, nodes, 15).drop("tags")
 
 
 @detection.add(f"""
@@ -102,7 +102,7 @@ def backsplice_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Candidate junctions per read before purification."""
     exons, reads, _, links, nodes = _prepared(spark, folder)
     voted = cut_lineage(D.strand_vote(D.usable_reads(reads, 101, 15), nodes, 15))
-    return D.candidates(D.seed_hits(voted, links, nodes, 15), links, exons, 101, 15)
+    return D.candidates(D.seed_hits(voted, links, nodes, 15), exons, 101, 15)
 
 
 def _hard(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -60,7 +60,7 @@ def kmer_extract(spark: SparkSession, folder: str) -> DataFrame:
 @sequences.add(f"with {_WINDOWS}, c as (select kmer, cast(count(*) as bigint) as n from w group by kmer having count(*) > 50) select {_CODE.format('kmer')} as code, n from c")
 def kmer_count(spark: SparkSession, folder: str) -> DataFrame:
     """k-mers of all sequences that occur more than 50 times, by code."""
-    return K.kmer_counts(K.kmers(spread(inputs.seqs(spark, folder)), "seq", K_LEN), "kmer").filter("n > 50")
+    return K.sequence_kmer_counts(spread(inputs.seqs(spark, folder)), "seq", K_LEN).filter("n > 50")
 
 
 _CANON = f"{_KM}, d as (select kmer, sum(n) as n from k group by kmer), c as (select least({_CODE.format('kmer')}, {_CODE.format(_RC.format('kmer'))}) as code, cast(sum(n) as bigint) as n from d group by 1)"

@@ -93,3 +93,20 @@ def test_local_alignment():
     worse = read[:50] + ("A" if read[50] != "A" else "C") + read[51:]
     got = local_alignments([worse, "", "AAAA"], [ref, ref, "TTTT"])
     assert got[0][0] == 101 and round(got[0][5] * 101) == 100 and got[1] is None and got[2] is None
+
+
+def test_counts_in_stretches_are_those_of_all_windows(spark, monkeypatch):
+    import random
+
+    from strandloom.operators import kmers as K
+
+    r = random.Random(5)
+    texts = ["".join(r.choice("ACGTacgtN") if r.random() < 0.2 else r.choice("ACGT") for _ in range(n)) for n in (0, 3, 4, 5, 40, 900, 5000)] + [None, "ACGT" * 3, "äACGTö", "A" * 3000]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    want = {x["code"]: x["n"] for x in K.kmer_counts(K.kmers(df, "s", 4), "kmer").collect()}
+    assert {x["code"]: x["n"] for x in K.sequence_kmer_counts(df, "s", 4).collect()} == want and len(want) == 256
+    assert K.sequence_kmer_counts(df.limit(0), "s", 4).count() == 0
+    # windows over the cuts between stretches
+    text = texts[6].encode()
+    cut = [K._codes(text[i : i + 64 + 14], 15) for i in range(0, len(text) - 14, 64)]
+    assert sorted(x for c in cut for x in c.tolist()) == sorted(K._codes(text, 15).tolist())
