@@ -80,3 +80,18 @@ def donor_acceptor_signal(head2: Column, tail2: Column, strand: Column) -> tuple
     head = F.when(plus, F.upper(head2) == "AG").otherwise(F.upper(head2) == "AC")
     tail = F.when(plus, F.upper(tail2) == "GT").otherwise(F.upper(tail2) == "CT")
     return head, tail
+
+
+def is_reversed(start: Column, end: Column) -> Column:
+    """Whether a stretch runs against its subject: its start lies beyond its end."""
+    return start > end
+
+
+def flanks(seq: Column, start: Column, end: Column, size: int = 50) -> tuple[Column, Column]:
+    """(before, after): ``size`` bases on either side of the stretch from ``start`` to ``end`` (from 1, inclusive), fewer at the
+    ends of ``seq``. Of a stretch that runs backwards the sides change places and are read backwards, not complemented."""
+    low, high = F.least(start, end), F.greatest(start, end)
+    left = F.substr(seq, F.greatest(low - size, F.lit(1)).cast("int"), F.least(low - 1, F.lit(size)).cast("int"))
+    right = F.substr(seq, (high + 1).cast("int"), F.lit(size))
+    back = is_reversed(start, end)
+    return F.when(back, F.reverse(right)).otherwise(left), F.when(back, F.reverse(left)).otherwise(right)

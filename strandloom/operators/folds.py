@@ -126,50 +126,52 @@ class LeaderFold:
     Leaders don't move, so the rows of a place all go where its first one goes.
     """
 
-    columns = "members bigint, support bigint"
+    columns = "members bigint, support bigint, labels bigint"
 
     def __init__(self, reach: int = 10, least: int = 2) -> None:
         self.leaders, self.members, self.least = Near(reach), [], least
 
-    def add(self, s: int, e: int, n: int, w: int) -> None:
+    def add(self, s: int, e: int, n: int, w: int, labels: Sequence[str] = ()) -> None:
         x = self.leaders.first(s, e)
         if x is None:
             x = self.leaders.add(s, e)
-            self.members.append([0, 0])
+            self.members.append([0, 0, set()])
         self.members[x][0] += n
         self.members[x][1] += w
+        self.members[x][2].update(labels)
 
     def rows(self) -> list[tuple]:
-        return [(s, e, n, w) for (s, e), (n, w) in zip(self.leaders.at, self.members) if n >= self.least]
+        return [(s, e, n, w, len(t)) for (s, e), (n, w, t) in zip(self.leaders.at, self.members) if n >= self.least]
 
 
-def _places(rows: DataFrame, key: str, order: Sequence[str], weight: str, reach: int) -> DataFrame:
+def _places(rows: DataFrame, key: str, order: Sequence[str], weight: str, reach: int, label: str | None = None) -> DataFrame:
     """(key, c1, c2, s, e, o0.., n, w): each distinct place once, with the order of its first row, its rows and weight.
 
     Rows of a place are added up before they move, so a place that holds a third of all rows is one row per task.
     """
     of = rows.filter(F.col(key).isNotNull() & F.col("start_pos").isNotNull() & F.col("end_pos").isNotNull())
-    of = of.groupBy(key, "start_pos", "end_pos").agg(F.min(F.struct(*order)).alias("o"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col(weight).cast("bigint")), F.lit(0)).alias("w"))
+    of = of.groupBy(key, "start_pos", "end_pos").agg(F.min(F.struct(*order)).alias("o"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col(weight).cast("bigint")), F.lit(0)).alias("w"), *([F.collect_set(label).alias("labels")] if label else []))
     c = clustered(cut_lineage(of), key, reach)
-    return c.select(F.col(key).alias("key"), F.col("cluster.__c1").alias("c1"), F.col("cluster.__c2").alias("c2"), F.col("start_pos").cast("bigint").alias("s"), F.col("end_pos").cast("bigint").alias("e"), "o", "n", "w")
+    return c.select(F.col(key).alias("key"), F.col("cluster.__c1").alias("c1"), F.col("cluster.__c2").alias("c2"), F.col("start_pos").cast("bigint").alias("s"), F.col("end_pos").cast("bigint").alias("e"), "o", "n", "w", *(["labels"] if label else []))
 
 
 def _fold(places: DataFrame, fold: Callable, reach_columns: str) -> DataFrame:
     """Feed the rows of each cluster, in the order ``o``, to a fold of its own; only its elements are held."""
     key_type = places.schema["key"].dataType.simpleString()
     names = [*CLUSTER, "start_pos", "end_pos", *[c.split()[0] for c in reach_columns.split(", ")]]
+    given = ["s", "e", "n", "w", *(["labels"] if "labels" in places.columns else [])]
     c = places.repartition(*CLUSTER).sortWithinPartitions(*CLUSTER, "o", "s", "e").drop("o")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state = None, None
         for batch in batches:
             done = []
-            for k, c1, c2, s, e, n, w in zip(*[batch[x] for x in (*CLUSTER, "s", "e", "n", "w")]):
+            for k, c1, c2, s, e, n, w, *labels in zip(*[batch[x] for x in (*CLUSTER, *given)]):
                 if (k, c1, c2) != now:
                     if state is not None:
                         done += [(*now, *r) for r in state.rows()]
                     now, state = (k, c1, c2), fold()
-                state.add(int(s), int(e), int(n), int(w))
+                state.add(int(s), int(e), int(n), int(w), *labels)
             if done:
                 yield pd.DataFrame(done, columns=names)
         if state is not None:
@@ -229,10 +231,11 @@ def merge_support(calls: DataFrame, key: str, order: Sequence[str], weight: str,
     return out.unionByName(redone.select(F.col("key").alias(key), "start_pos", "end_pos", "support"))
 
 
-def leader_clusters(calls: DataFrame, key: str, order: Sequence[str], weight: str, reach: int = 10, least: int = 2) -> DataFrame:
-    """(key, start_pos, end_pos, members, support) of clusters led by their first call."""
-    folded = _fold(_places(calls, key, order, weight, reach), lambda: LeaderFold(reach, least), LeaderFold.columns)
-    return folded.select(F.col("key").alias(key), "start_pos", "end_pos", "members", "support")
+def leader_clusters(calls: DataFrame, key: str, order: Sequence[str], weight: str, reach: int = 10, least: int = 2, label: str | None = None) -> DataFrame:
+    """(key, start_pos, end_pos, members, support) of clusters led by their first call; with ``label`` (a column of few values)
+    also ``labels``, how many different ones a cluster has."""
+    folded = _fold(_places(calls, key, order, weight, reach, label), lambda: LeaderFold(reach, least), LeaderFold.columns)
+    return folded.select(F.col("key").alias(key), "start_pos", "end_pos", "members", "support", *(["labels"] if label else []))
 
 
 def drop_later_similar(calls: DataFrame, key: str, order: Sequence[str], weight: str, reach: int = 10) -> DataFrame:

@@ -143,3 +143,32 @@ def distance_classes(chain: DataFrame, hit: int = TOLERANCE, near: int = 200) ->
     away = F.when(((l <= hit) & (r <= near)) | ((l <= near) & (r <= hit)), "edge").when((l <= near) & (r <= near), "near").otherwise("other")
     none = [F.coalesce(c, F.lit("none")).alias(c) for c in ("left_place", "right_place")]
     return chain.select(*none, away.alias("away")).groupBy("left_place", "right_place", "away").agg(F.count(F.lit(1)).alias("n"))
+
+
+def tool_consensus(calls: DataFrame, order: list[str], weight: str, least: int = 2, tolerance: int = TOLERANCE) -> DataFrame:
+    """(chrom, start_pos, end_pos, members, support, tools): calls of all tools merged into the first near one in ``order``,
+    and kept where ``least`` tools at least are among them."""
+    c = leader_clusters(calls, "chrom", order, weight, tolerance, 1, "tool").withColumnRenamed("labels", "tools")
+    return c.filter(F.col("tools") >= least)
+
+
+def both_directions(mine: DataFrame, union: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
+    """(direction, places, hits): distinct places of either side and how many of them the other has near."""
+    a, b = (d.select(*PLACE).distinct() for d in (mine, union))
+    one = lambda x, y, name: x.agg(F.count(F.lit(1)).alias("places")).select(F.lit(name).alias("direction"), "places", hit_calls(x, y, tolerance).agg(F.count(F.lit(1)).alias("hits")).scalar().alias("hits"))
+    return one(a, b, "mine in union").unionByName(one(b, a, "union in mine"))
+
+
+def valid_per_chromosome(calls: DataFrame, exons: DataFrame, tolerance: int = 3) -> DataFrame:
+    """(chrom, calls, valid, same_exon): calls with both ends on boundaries of one transcript, and of one exon."""
+    hits = calls.select("call_id", "chrom").join(boundary_hits(calls, exons, tolerance), "call_id")
+    return hits.groupBy("chrom").agg(F.count(F.lit(1)).alias("calls"), F.count_if("both").alias("valid"), F.count_if("same_exon").alias("same_exon"))
+
+
+def edge_classes(places_: DataFrame, exons: DataFrame, near: int = 200, exact: int = 3) -> DataFrame:
+    """(chrom, left_part, right_part, strand, n): distinct places by whether their ends lie within ``exact`` or within ``near``
+    of both edges of an exon."""
+    pairs = band_join(places_.distinct(), exons.distinct(), ["chrom"], tolerance=near)
+    part = lambda a: F.min(F.when(F.abs(F.col(a) - F.col(f"r_{a}")) < exact, "exact").otherwise("near"))
+    h = pairs.groupBy(*PLACE, F.col("r_strand").alias("strand")).agg(part("start_pos").alias("left_part"), part("end_pos").alias("right_part"))
+    return h.groupBy("chrom", "left_part", "right_part", "strand").agg(F.count(F.lit(1)).alias("n"))

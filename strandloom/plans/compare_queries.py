@@ -77,16 +77,16 @@ def _folded(rows: str, reach: int, moves: bool) -> str:
     the first element near it or becomes one; with ``moves`` a shorter one gives the element its place."""
     near = f"list_position(list_transform(els, lambda x: abs(x.s - r.s) <= {reach} and abs(x.e - r.e) <= {reach}), true)"
     shorter = "r.e - r.s < x.e - x.s" if moves else "false"
-    gain = f"{{'s': case when {shorter} then r.s else x.s end, 'e': case when {shorter} then r.e else x.e end, 'n': x.n + 1, 'w': x.w + r.w}}".replace("r.", "q.")
+    gain = f"{{'s': case when {shorter} then r.s else x.s end, 'e': case when {shorter} then r.e else x.e end, 'n': x.n + 1, 'w': x.w + r.w, 't': list_distinct(list_append(x.t, r.t))}}".replace("r.", "q.")
     return f"""{rows},
-    steps as (select chrom, cast(0 as bigint) as rn, cast([] as struct(s bigint, e bigint, n bigint, w bigint)[]) as els from (select distinct chrom from r)
-        union all select q.chrom, q.rn, case when i = 0 then list_append(els, {{'s': q.s, 'e': q.e, 'n': cast(1 as bigint), 'w': q.w}}) else list_transform(els, lambda x, k: case when k = i then {gain} else x end) end
+    steps as (select chrom, cast(0 as bigint) as rn, cast([] as struct(s bigint, e bigint, n bigint, w bigint, t varchar[])[]) as els from (select distinct chrom from r)
+        union all select q.chrom, q.rn, case when i = 0 then list_append(els, {{'s': q.s, 'e': q.e, 'n': cast(1 as bigint), 'w': q.w, 't': [q.t]}}) else list_transform(els, lambda x, k: case when k = i then {gain} else x end) end
         from (select r.*, els, coalesce({near}, 0) as i from steps join r on r.chrom = steps.chrom and r.rn = steps.rn + 1) q),
     folded as (select chrom, unnest(els) as x from (select chrom, arg_max(els, rn) as els from steps group by chrom))"""
 
 
-def _ordered(source: str, weight: str, order: str) -> str:
-    return f"r as (select chrom, cast(start_pos as bigint) as s, cast(end_pos as bigint) as e, cast(coalesce({weight}, 0) as bigint) as w, row_number() over (partition by chrom order by {order}, start_pos, end_pos) as rn from {source})"
+def _ordered(source: str, weight: str, order: str, label: str = "''") -> str:
+    return f"r as (select chrom, cast({label} as varchar) as t, cast(start_pos as bigint) as s, cast(end_pos as bigint) as e, cast(coalesce({weight}, 0) as bigint) as w, row_number() over (partition by chrom order by {order}, start_pos, end_pos) as rn from {source})"
 
 
 _REPLICATED = f"""{inputs.CALLS}, rep as (select tool, chrom, start_pos, end_pos, call_id % 2 as rep, count(*) as copies from calls group by all),
@@ -134,6 +134,24 @@ def consensus_replicates(spark: SparkSession, folder: str) -> DataFrame:
     return C.consensus_scores(shared, cut_lineage(C.benchmark(shared)))
 
 
+@comparison.add("with recursive " + _folded(f"{inputs.CALLS}, " + _ordered("calls", "support", "tool, call_id", "tool"), 10, False) + " select chrom, x.s as start_pos, x.e as end_pos, x.n as members, x.w as support, cast(len(x.t) as bigint) as tools from folded where len(x.t) >= 2")
+def consensus_tools(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls of all tools merged in order, tool after tool, with their support; places that two tools at least have."""
+    return C.tool_consensus(inputs.calls(spark, folder), ["tool", "call_id"], "support")
+
+
+@comparison.add("with recursive " + _folded(f"{inputs.CALLS}, " + _ordered("(select * from calls where tool <> 'dbg')", "support", "call_id"), 10, False) + f"""
+, a as (select distinct chrom, start_pos, end_pos from calls where tool = 'dbg'), b as (select distinct chrom, x.s as start_pos, x.e as end_pos from folded)
+select 'mine in union' as direction, (select count(*) from a) as places, (select count(*) from a where exists (select 1 from b where {_NEAR})) as hits
+union all select 'union in mine', (select count(*) from b), (select count(*) from b where exists (select 1 from a where {_NEAR}))
+""")
+def mine_and_union(spark: SparkSession, folder: str) -> DataFrame:
+    """One tool's places against the union of the others' without near copies, in both directions."""
+    c = inputs.calls(spark, folder)
+    union = cut_lineage(drop_later_similar(c.filter("tool <> 'dbg'"), "chrom", ["call_id"], "support"))
+    return C.both_directions(c.filter("tool = 'dbg'"), union)
+
+
 @comparison.add("with recursive " + _folded(f"{inputs.CALLS}, " + _ordered("calls", "support", "call_id"), 7, True) + " select chrom, x.s as start_pos, x.e as end_pos, x.w as support from folded")
 def support_merge(spark: SparkSession, folder: str) -> DataFrame:
     """Near calls merged in order of arrival, with their support added up."""
@@ -227,3 +245,31 @@ def edge_contingency(spark: SparkSession, folder: str) -> DataFrame:
     part = lambda a: F.min(F.when(F.abs(F.col(a) - F.col(f"r_{a}")) < 3, "exact").otherwise("near"))
     h = near.groupBy("call_id", F.col("r_strand").alias("strand")).agg(part("start_pos").alias("left_part"), part("end_pos").alias("right_part"))
     return h.groupBy("left_part", "right_part", "strand").agg(F.count(F.lit(1)).alias("n"))
+
+
+@comparison.add(f"""
+with {inputs.EXONS}, {_OCALLS}, l as (select c.call_id, e.tx_id, e.exon_no from ocalls c join exons e on c.chrom = e.chrom and abs(c.start_pos - e.start_pos) <= 3),
+r as (select c.call_id, e.tx_id, e.exon_no from ocalls c join exons e on c.chrom = e.chrom and abs(c.end_pos - e.end_pos) <= 3),
+f as (select l.call_id, bool_or(l.exon_no = r.exon_no) as same_exon from l join r on l.call_id = r.call_id and l.tx_id = r.tx_id group by l.call_id)
+select c.chrom, count(*) as calls, count(f.call_id) as valid, count(case when same_exon then 1 end) as same_exon from ocalls c left join f on c.call_id = f.call_id group by c.chrom
+""")
+def valid_by_chrom(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls per chromosome, those with both ends on exon boundaries of one transcript, and of one exon."""
+    calls = _order_calls(spark, folder)
+    return C.valid_per_chromosome(calls, inputs.exons(spark, folder), 3)
+
+
+@comparison.add(f"""
+with {inputs.EXONS}, {_OCALLS}, c as (select chrom, start_pos, end_pos, array_agg(distinct o_orderpriority) as cells from ocalls join orders on call_id = o_orderkey group by all),
+t as (select * from c where len(list_filter(cells, lambda x: contains(x, 'URGENT'))) > 0),
+h as (select t.chrom, t.start_pos, t.end_pos, e.strand, min(case when abs(t.start_pos - e.start_pos) < 3 then 'exact' else 'near' end) as left_part, min(case when abs(t.end_pos - e.end_pos) < 3 then 'exact' else 'near' end) as right_part
+    from t join exons e on t.chrom = e.chrom and abs(t.start_pos - e.start_pos) <= 200 and abs(t.end_pos - e.end_pos) <= 200 group by 1, 2, 3, 4)
+select chrom, left_part, right_part, strand, count(*) as n from h group by all
+""")
+def pre_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    """Places of one group per chromosome by how exactly they meet exon edges, per strand."""
+    from ..sources.calls import has_tissue
+
+    cells = table(spark, folder, "orders").select(F.col("o_orderkey").alias("call_id"), F.col("o_orderpriority").alias("cell"))
+    c = _order_calls(spark, folder).join(cells, "call_id").groupBy(*C.PLACE).agg(F.collect_set("cell").alias("cells"))
+    return C.edge_classes(c.filter(has_tissue("cells", "URGENT")).select(*C.PLACE), inputs.exons(spark, folder).select("chrom", "start_pos", "end_pos", "strand"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.seq import flanks, is_reversed
 from ..sources import calls as S
 from ..sources.sequences import spliced_exons, spliced_references
 from . import classify as Q
@@ -89,6 +90,22 @@ def splice_signals(spark: SparkSession, folder: str) -> DataFrame:
     return s.select("chrom", "exon_no", "head_signal", "tail_signal", (F.col("head_signal") | F.col("tail_signal")).alias("either"), (F.col("head_signal") & F.col("tail_signal")).alias("both"))
 
 
+_WAY = "case when e.strand = '+' then {0} else {1} end"
+
+
+@reports.add(f"""
+with {inputs.GEXONS}, f as (select e.chrom, e.exon_no, e.strand = '-' as reversed, substring(g.seq, greatest(start_pos - 50, 1), least(start_pos - 1, 50)) as l, substring(g.seq, end_pos + 1, 50) as r, e.strand from gexons e join genome g on e.chrom = g.chrom)
+select chrom, exon_no, reversed, {_WAY.format('l', 'reverse(r)')} as before, {_WAY.format('r', 'reverse(l)')} as after from f e
+""")
+def flank_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Fifty bases on either side of exons, read backwards where the exon runs backwards."""
+    e = inputs.genome_exons(spark, folder).drop("seq").join(inputs.genome(spark, folder), "chrom")
+    plus = F.col("strand") == "+"
+    start, end = F.when(plus, F.col("start_pos")).otherwise(F.col("end_pos")), F.when(plus, F.col("end_pos")).otherwise(F.col("start_pos"))
+    before, after = flanks(F.col("seq"), start, end)
+    return e.select("chrom", "exon_no", is_reversed(start, end).alias("reversed"), before.alias("before"), after.alias("after"))
+
+
 _SPLICED = f"""{inputs.GEXONS}, r as (select chrom, chrom || ' | ' || chrom || ' | ' || min(start_pos) || ':' || max(end_pos) || ' | 0 | ' || min(start_pos) || ':' || max(end_pos) || ' | ' || string_agg(exon_no, ', ' order by start_pos)
     || ' | ' || string_agg('(' || start_pos || ', ' || end_pos || ')', ', ' order by start_pos) || ' | ' || sum(length(seq)) as name, string_agg(seq, '' order by start_pos) as seq from gexons group by chrom)"""
 

@@ -110,3 +110,14 @@ def spliced_exons(references: DataFrame, name: str = "name") -> DataFrame:
     at = F.arrays_zip(F.split(F.get(c, 5), ", ").alias("no"), got(1).alias("s"), got(2).alias("e"))
     rows = references.select(F.get(c, 0).alias("chrom"), F.get(c, 1).alias("gene_id"), F.get(c, 3).alias("tx_id"), F.get(c, 7).try_cast("int").alias("length"), F.explode(at).alias("x"))
     return rows.select("chrom", "gene_id", "tx_id", F.col("x.no").try_cast("int").alias("exon_no"), F.col("x.s").alias("start_pos"), F.col("x.e").alias("end_pos"), "length")
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """(name, size) of the files in a folder of any file system, folders left out; contents aren't read.
+
+    Like Spark's own listing of an input folder this runs on the driver.
+    """
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    return spark.createDataFrame([(f.getPath().getName(), f.getLen()) for f in found if not f.isDirectory()], "name string, size bigint")

@@ -159,3 +159,15 @@ def test_names_of_spliced_references(spark):
     assert got == {"1 | g | 2:9 | t | 3:9 | 0, 1 | (3, 5), (8, 9) | 5": "CCGTA", "1 | g | 2:9 | u | 2:4 | 0 | (2, 4) | 3": "ACC"}
     back = {tuple(r)[:6] for r in Q.spliced_exons(rows).collect()}
     assert back == {("1", "g", "t", 0, 3, 5), ("1", "g", "t", 1, 8, 9), ("1", "g", "u", 0, 2, 4)}
+
+
+def test_files_and_flanks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from strandloom.functions.seq import flanks
+
+    (tmp_path / "a.txt").write_text("xyz")
+    (tmp_path / "b.txt").write_text("")
+    assert {(r["name"], r["size"]) for r in Q.list_files(spark, str(tmp_path)).collect()} == {("a.txt", 3), ("b.txt", 0)}
+    df = spark.createDataFrame([("AACCGGTT", 3, 4), ("AACCGGTT", 4, 3), ("AACCGGTT", 1, 8), (None, 1, 2)], "seq string, s int, e int")
+    assert [tuple(r) for r in df.select(*flanks(F.col("seq"), F.col("s"), F.col("e"), 3)).collect()] == [("AA", "GGT"), ("TGG", "AA"), ("", ""), (None, None)]
