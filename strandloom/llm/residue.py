@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.joins import semi_join
+from ..operators.joins import lookup_join, semi_join
 from ..session import cut_lineage
 
 # Notations of an unfilled place.
@@ -127,7 +127,8 @@ class ResidueParameters:
 
     ``ordinary_share`` and ``page_share``: how often an ordinary and a page's word, word pair or line stands out of place;
     ``evidence``: log of the likelihood ratio from which it is a page's, the record at hand not counted; ``cover``: share
-    of a unit's words that must be. ``chance``: of a unit of words that no other record has.
+    of a unit's words that must be; ``hint``: ratio from which words count that make a page's unit only together, with
+    twice the evidence in four words or more. ``chance``: of a unit of words that no other record has.
 
     ``slots``, ``pages``, ``gibberish`` switch what is induced, ``instructions`` what matches ``INSTRUCTIONS``. ``known``
     adds the phrases of known pages, for tables too small to induce any.
@@ -139,6 +140,7 @@ class ResidueParameters:
     ordinary_share: float = 0.03
     page_share: float = 0.4
     evidence: float = 4.0
+    hint: float = 1.0
     cover: float = 0.8
     chance: float = 1e-5
     slots: bool = True
@@ -214,16 +216,24 @@ def _paged(u: DataFrame, p: ResidueParameters) -> DataFrame:
     ratio = lambda k, m: k * more + (m - k) * less
     key = lambda off: F.xxhash64("gram", F.lit(off))
     # a unit out of place is judged by the other records only
-    inside = F.when(ratio(F.col("out"), F.col("records")) >= p.evidence, key(False))
-    outside = F.when(ratio(F.col("out") - 1, F.col("records") - 1) >= p.evidence, key(True))
-    keys = stats.filter("out >= 2").select(F.explode(F.array(inside, outside)).alias("key")).filter("key is not null")
-    hits = semi_join(g.withColumn("key", F.xxhash64("gram", "off")), keys, "key")
-    word = F.when(F.col("at") < F.col("n"), F.col("at"))
-    pair = F.when((F.col("at") >= F.col("n")) & (F.col("at") <= 2 * F.col("n")), F.col("at") - F.col("n"))
-    hits = hits.groupBy("same", "no").agg(F.max("n").alias("n"), F.collect_set(word).alias("alone"), F.collect_set(pair).alias("pairs"), F.max(F.col("at") > 2 * F.col("n")).alias("line"))
-    both = F.array_intersect("pairs", F.transform("pairs", lambda x: x - 1))
-    covered = F.size(F.array_union("alone", both))
-    found = hits.filter(F.col("line") | ((F.col("n") >= 2) & (covered >= p.cover * F.col("n")))).select("same")
+    inside = F.struct(key(False).alias("key"), ratio(F.col("out"), F.col("records")).cast("float").alias("w"))
+    outside = F.struct(key(True).alias("key"), ratio(F.col("out") - 1, F.col("records") - 1).cast("float").alias("w"))
+    keys = stats.filter("out >= 1").select(F.inline(F.array(inside, outside))).filter(F.col("w") >= p.hint)
+    hits = lookup_join(g.withColumn("key", F.xxhash64("gram", "off")), keys, "key")
+    word = F.when(F.col("at") < F.col("n"), F.struct(F.col("at"), "w"))
+    pair = F.when((F.col("at") >= F.col("n")) & (F.col("at") <= 2 * F.col("n")), F.struct((F.col("at") - F.col("n")).alias("at"), "w"))
+    hits = hits.groupBy("same", "no").agg(F.max("n").alias("n"), F.map_from_entries(F.collect_list(word)).alias("alone"), F.map_from_entries(F.collect_list(pair)).alias("pairs"), F.max(F.when(F.col("at") > 2 * F.col("n"), F.col("w"))).alias("line"))
+    at = lambda m, i: F.coalesce(F.try_element_at(m, i), F.lit(0.0))
+    # a word by itself or by the pairs on both sides
+    weights = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.least(F.greatest(at("alone", i), F.least(at("pairs", i), at("pairs", i + 1))), F.lit(p.evidence).cast("float")))
+    hits = hits.select("same", "n", "line", weights.alias("x"))
+    many = lambda least, cover=p.cover: F.size(F.filter("x", lambda w: w >= least)) >= cover * F.col("n")
+    # few sightings of a line need words that don't speak against it
+    line = F.coalesce("line", F.lit(0.0))
+    repeated = (line >= p.evidence) & ((line >= 3 * p.evidence) | (F.col("n") < 3) | many(p.hint, 0.75 * p.cover))
+    total = F.aggregate("x", F.lit(0.0).cast("float"), lambda s, w: (s + w).cast("float"))
+    strong, together = (F.col("n") >= 2) & many(p.evidence), (F.col("n") >= 4) & many(p.hint) & (total >= 2 * p.evidence)
+    found = hits.filter(repeated | strong | together).select("same")
     if not p.pages:
         found = found.limit(0)
     if p.gibberish:
