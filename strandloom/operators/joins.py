@@ -27,3 +27,16 @@ def semi_join(rows: DataFrame, keys: DataFrame, on: str, broadcast_keys: int = B
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")]), F.lit(SALTS)).cast("int"))
     copies = keys.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [on, "__salt"], how).drop("__salt")
+
+
+def lookup_join(rows: DataFrame, table: DataFrame, on: str, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """Rows of ``rows`` whose ``on`` is in ``table``, with that one's columns of fixed width.
+
+    As in ``semi_join``: ``table`` holds each key once, is written and counted, and either broadcast or met by salted keys.
+    """
+    table = cut_lineage(table)
+    if table.limit(broadcast_keys + 1).count() <= broadcast_keys:
+        return rows.join(F.broadcast(table), on)
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")]), F.lit(SALTS)).cast("int"))
+    copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [on, "__salt"]).drop("__salt")
