@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .bands import interval_join
-from .scan import running_max, running_totals
+from .scan import running_both, running_max, running_totals
 
 #: Positions, or lines of a file, per block of a running computation.
 BLOCK = 1 << 16
@@ -116,16 +117,50 @@ def nearest_gap(queries: DataFrame, refs: DataFrame, key: str) -> DataFrame:
     """Best reference per query junction: of those overlapping it the one with the least sum of distances of the
     inner bounds (the earliest by (lstart, ref_id) among equals), with the number that overlap; 0 and NULL if none.
 
-    Queries (id, lstart, lend, rstart, rend), references (ref_id and the same).
+    Queries (id, lstart, lend, rstart, rend), references (ref_id and the same); a NULL bound or key, or a start
+    beyond its end, overlaps nothing. Equal junctions are looked up once. Overlaps are counted as starts before the
+    query's end less ends up to its start, by running totals. For the nearest, the reference before the query in order
+    of the inner bounds gives a first distance; only references within it along ``lend`` are compared, in bins as wide as it.
+    Queries that overlap references but not that one are compared with all that they overlap.
     """
-    r = refs.select(key, "ref_id", *[F.col(c).alias(f"r_{c}") for c in ("lstart", "lend", "rstart", "rend")])
+    bounds = ["lstart", "lend", "rstart", "rend"]
+    whole = F.col(key).isNotNull()
+    for c in bounds:
+        whole &= F.col(c).isNotNull()
+    q = cut_lineage(queries.filter(whole & (F.col("lstart") < F.col("rend"))).select(key, *[F.col(c).cast("bigint").alias(c) for c in bounds]).distinct())
+    r = refs.filter(whole & (F.col("lstart") <= F.col("rend"))).select(key, "ref_id", *[F.col(c).cast("bigint").alias(f"r_{c}") for c in bounds])
+    r = cut_lineage(r.groupBy(key, *[f"r_{c}" for c in bounds]).agg(F.min("ref_id").alias("ref_id"), F.count(F.lit(1)).alias("n")))
+    # three questions in one pass: how many begin before the query's end, how many end up to its start, and which one
+    # comes last up to it in order of the inner bounds
+    none, zero = F.lit(None).cast("struct<a:bigint,b:bigint,s:bigint,e:bigint>"), F.lit(0).cast("bigint")
+    seen = F.struct(F.col("r_lend").alias("a"), F.col("r_rstart").alias("b"), F.col("r_lstart").alias("s"), F.col("r_rend").alias("e"))
+    row = lambda what, at, then, kind, n, ref: F.struct(F.lit(what).alias("what"), at.alias("at"), then.alias("then"), F.lit(kind).alias("kind"), n.alias("n"), ref.alias("ref"))
+    c = F.col
+    told = r.select(key, F.inline(F.array(row("begun", c("r_lstart"), zero, 1, c("n"), none), row("ended", c("r_rend"), zero, 0, c("n"), none), row("before", c("r_lend"), c("r_rstart"), 0, zero, seen))))
+    asked = q.select(key, F.inline(F.array(row("begun", c("rend"), zero, 0, zero, none), row("ended", c("lstart"), zero, 1, zero, none), row("before", c("lend"), c("rstart"), 1, zero, none)))).distinct()
+    rows = told.withColumn("ask", F.lit(False)).unionByName(asked.withColumn("ask", F.lit(True))).withColumn("__block", F.floor(F.col("at") / BLOCK))
+    answers = cut_lineage(running_both(rows, [key, "what"], "__block", ["at", "then", "kind"], {"count": "n"}, {"found": "ref"}).filter("ask").select(key, "what", "at", "then", "count", "found"))
+    answer = lambda what, at, *more: answers.filter(F.col("what") == what).select(key, F.col("at").alias(at), *more)
+    counted = q.join(answer("begun", "rend", F.col("count").alias("begun")), [key, "rend"]).join(answer("ended", "lstart", F.col("count").alias("ended")), [key, "lstart"])
+    counted = counted.select(key, *bounds, (F.col("begun") - F.col("ended")).alias("overlaps")).filter("overlaps > 0")
+    near = counted.join(answer("before", "lend", F.col("then").alias("rstart"), "found.*"), [key, "lend", "rstart"], "left")
+    within = F.when((F.col("lstart") < F.col("e")) & (F.col("rend") > F.col("s")), F.abs(F.col("lend") - F.col("a")) + F.abs(F.col("rstart") - F.col("b")))
+    todo = near.select(key, *bounds, "overlaps", within.alias("within"))
+    todo = todo.withColumn("level", F.when(F.col("within") == 0, 0).otherwise(F.floor(F.log2("within")) + 1).cast("int"))
+    todo = cut_lineage(todo)
+    levels = [x["level"] for x in todo.select("level").distinct().collect() if x["level"] is not None]  # at most 64
+    wide = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))).cast("bigint")
+    binned = r.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))).withColumn("bin", wide("r_lend"))
+    at = wide("lend")
+    found = todo.filter("within is not null").withColumn("bin", F.explode(F.array(at - 1, at, at + 1))).join(binned, [key, "level", "bin"])
+    found = found.filter((F.abs(F.col("lend") - F.col("r_lend")) <= F.col("within")) & (F.col("lstart") < F.col("r_rend")) & (F.col("rend") > F.col("r_lstart")))
     strict = (F.col("lstart") < F.col("r_rend")) & (F.col("rend") > F.col("r_lstart"))
-    pairs = interval_join(queries.select(key, "id", "lstart", "lend", "rstart", "rend"), r, key, ("lstart", "rend"), ("r_lstart", "r_rend"), strict)
+    rest = interval_join(todo.filter("within is null").drop("within", "level"), r, key, ("lstart", "rend"), ("r_lstart", "r_rend"), strict)
+    kept = [key, *bounds, "overlaps", "r_lend", "r_rstart", "r_lstart", "ref_id"]
+    pairs = found.select(*kept).unionByName(rest.select(*kept))
     sod = F.abs(F.col("lend") - F.col("r_lend")) + F.abs(F.col("rstart") - F.col("r_rstart"))
-    best = pairs.withColumn("sod", sod).groupBy("id").agg(
-        F.min_by("ref_id", F.struct("sod", "r_lstart", "ref_id")).alias("ref_id"), F.min("sod").alias("sod"), F.count(F.lit(1)).alias("overlaps")
-    )
-    out = queries.select("id").join(best, "id", "left")
+    best = pairs.withColumn("sod", sod).groupBy(key, *bounds).agg(F.min_by("ref_id", F.struct("sod", "r_lstart", "ref_id")).alias("ref_id"), F.min("sod").alias("sod"), F.max("overlaps").alias("overlaps"))
+    out = queries.select("id", key, *bounds).join(best, [key, *bounds], "left")
     return out.select("id", F.coalesce("ref_id", F.lit(0)).alias("ref_id"), "sod", F.coalesce("overlaps", F.lit(0)).alias("overlaps"))
 
 

@@ -41,6 +41,19 @@ def running_max(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[
     return joined.select(*df.columns, F.greatest(out, "__max").alias(out))
 
 
+def running_both(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], sums: dict[str, str], maxima: dict[str, str]) -> DataFrame:
+    """Inclusive running sums and running maxima (of numbers or structs) in one pass; otherwise as ``running_totals``."""
+    inside = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    what = [(out, c, F.sum) for out, c in sums.items()] + [(out, c, F.max) for out, c in maxima.items()]
+    local = df.select("*", *[f(c).over(inside).alias(out) for out, c, f in what])
+    blocks = df.groupBy(*keys, block).agg(*[f(c).alias(f"__{out}") for out, c, f in what])
+    carried = blocks.select(*keys, block, *[f(f"__{out}").over(before).alias(f"__{out}") for out, _, f in what])
+    joined = local.join(carried, [*keys, block])
+    total = [(F.col(out) + F.coalesce(f"__{out}", F.lit(0))).alias(out) for out in sums]
+    return joined.select(*df.columns, *total, *[F.greatest(out, f"__{out}").alias(out) for out in maxima])
+
+
 def chains(positions: DataFrame, keys: Sequence[str], pos: str, reach: int, size: int = 1 << 16) -> DataFrame:
     """Distinct (``keys``, ``pos``) with ``chain``: a number per run of positions no more than ``reach`` apart."""
     at = positions.select(*keys, pos).distinct().withColumn("block", F.floor(F.col(pos) / size))

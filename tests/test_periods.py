@@ -94,3 +94,31 @@ def test_first_container_is_the_plain_search(spark):
     i = spark.createDataFrame(inner, "id int, k string, is_ bigint, ie bigint")
     want = {n: min(((a, b, m) for m, kk, a, b in outer if kk == k and a <= s and e <= b), default=(0, 0, None))[2] for n, k, s, e in inner}
     assert {x["id"]: x["outer_id"] for x in A.first_container(i, o, "k").collect()} == want
+
+
+def test_nearest_gap_is_the_plain_search(spark):
+    import random
+
+    from strandloom.operators import annotation as A
+
+    r = random.Random(3)
+
+    def some(n, dense):
+        out = []
+        for i in range(n):
+            a = r.randint(0, 3000 if dense else 2000000)
+            b = a + r.randint(1, 200)
+            c = b + r.choice([5, 50, 500, 100000])
+            out.append((i + 1, r.choice("xy"), a, b, c, c + r.randint(1, 200)))
+        return out
+
+    for dense in (True, False):
+        q, f = some(200, dense), some(250, dense)
+        f += [(1000 + x[0], *x[1:]) for x in f[:40]]  # copies
+        columns = "k string, lstart bigint, lend bigint, rstart bigint, rend bigint"
+        nulls = [(901, None, 1, 2, 3, 4), (902, "x", 1, None, 3, 4)]
+        got = {x["id"]: (x["ref_id"], x["sod"], x["overlaps"]) for x in A.nearest_gap(spark.createDataFrame(q + nulls, "id bigint, " + columns), spark.createDataFrame(f + nulls, "ref_id bigint, " + columns), "k").collect()}
+        for i, k, a, b, c, d in q:
+            over = [(abs(b - y[3]) + abs(c - y[4]), y[2], y[0]) for y in f if y[1] == k and a < y[5] and d > y[2]]
+            assert got[i] == ((min(over)[2], min(over)[0], len(over)) if over else (0, None, 0))
+        assert got[901] == got[902] == (0, None, 0)
