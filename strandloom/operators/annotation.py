@@ -98,15 +98,16 @@ def overlap_class(queries: DataFrame, refs: DataFrame, key: str) -> DataFrame:
     """How each query (id, qs, qe) lies to the first reference (rs, re) that ends at or after its start.
 
     References must be disjoint per key. Result: ``id``, ``rs``, ``re``, ``class``: n nested, l and r overhanging
-    on one side, b on both, no apart (or no reference left).
+    on one side, b on both, no apart (or no reference left). Starts are looked up once each, so many queries at one
+    place don't meet in one block.
     """
-    ends = refs.select(key, (-F.col("re")).alias("at"), F.lit(0).alias("kind"), (-F.col("re")).alias("ref"), F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("qe"))
-    asks = queries.select(key, (-F.col("qs")).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("ref"), "id", "qe")
+    ends = refs.select(key, (-F.col("re")).alias("at"), F.lit(0).alias("kind"), (-F.col("re")).alias("ref"))
+    asks = queries.select(key, (-F.col("qs")).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("ref")).distinct()
     rows = ends.unionByName(asks).withColumn("__block", F.floor(F.col("at") / BLOCK))
     # counted backwards from the end, the last reference end seen is the next one at or after the query
     seen = running_max(rows, [key], "__block", ["at", "kind"], "next", "ref").filter("kind = 1")
-    seen = seen.select(key, "id", (-F.col("at")).alias("qs"), "qe", (-F.col("next")).alias("re"))
-    out = seen.join(refs.select(key, "rs", "re"), [key, "re"], "left")
+    seen = seen.select(key, (-F.col("at")).alias("qs"), (-F.col("next")).alias("re")).join(refs.select(key, "rs", "re"), [key, "re"], "left")
+    out = queries.select(key, "id", "qs", "qe").join(seen, [key, "qs"])
     left, right = F.col("qs") < F.col("rs"), F.col("qe") > F.col("re")
     kind = F.when(F.col("re").isNull() | (F.col("qe") < F.col("rs")), "no").when(left & right, "b").when(left, "l").when(right, "r").otherwise("n")
     hit = kind != "no"
@@ -173,13 +174,13 @@ def first_container(inner: DataFrame, outer: DataFrame, key: str) -> DataFrame:
     """
     o = outer.filter("os <= oe").groupBy(key, "os", "oe").agg(F.min("outer_id").alias("outer_id")).withColumn("__block", F.floor(F.col("os") / BLOCK))
     records = running_max(o, [key], "__block", ["os", "oe"], "__before", "oe", inclusive=False).filter("__before is null or oe > __before")
-    none = F.lit(None)
-    ends = records.select(key, (-F.col("oe")).alias("at"), F.lit(0).alias("kind"), (-F.col("oe")).alias("ref"), none.cast(inner.schema["id"].dataType).alias("id"), none.cast("bigint").alias("is_"))
-    asks = inner.filter(F.col(key).isNotNull() & F.col("ie").isNotNull()).select(key, (-F.col("ie")).alias("at"), F.lit(1).alias("kind"), none.cast("bigint").alias("ref"), "id", "is_")
+    ends = records.select(key, (-F.col("oe")).alias("at"), F.lit(0).alias("kind"), (-F.col("oe")).alias("ref"))
+    asks = inner.filter(F.col(key).isNotNull() & F.col("ie").isNotNull()).select(key, (-F.col("ie")).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("ref")).distinct()
     rows = ends.unionByName(asks).withColumn("__block", F.floor(F.col("at") / BLOCK))
     # counted backwards from the end, the last one seen is the first that ends at or after ie
     seen = running_max(rows, [key], "__block", ["at", "kind"], "next", "ref").filter("kind = 1")
-    hit = seen.select(key, "id", "is_", (-F.col("next")).alias("oe")).join(records.select(key, "oe", "os", "outer_id"), [key, "oe"]).filter(F.col("os") <= F.col("is_"))
+    known = seen.select(key, (-F.col("at")).alias("ie"), (-F.col("next")).alias("oe")).join(records.select(key, "oe", "os", "outer_id"), [key, "oe"])
+    hit = inner.select("id", key, "is_", "ie").join(known, [key, "ie"]).filter(F.col("os") <= F.col("is_"))
     return inner.select("id").join(hit.select("id", "outer_id"), "id", "left").select("id", "outer_id")
 
 

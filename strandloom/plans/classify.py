@@ -108,3 +108,11 @@ def spanning_reads(alignments: DataFrame, status: DataFrame, breakpoint: str, ki
     hit = F.col("spans") > 0
     counts = [F.count_if(hit & (F.col("status") == k)).alias(k.lower()) for k in kinds]
     return r.groupBy("cand_id").agg(F.sum("n").alias("alignments"), F.sum("spans").alias("spanning"), F.count(F.lit(1)).alias("reads"), F.count_if(hit).alias("spanning_reads"), F.max(hit).alias("valid"), *counts)
+
+
+def spanning_totals(alignments: DataFrame, breakpoint: str, margin: int = 0) -> DataFrame:
+    """One row: reads aligned to a junction, those that span it by more than ``margin`` on both sides (valid), and of these the
+    reversed and the other ones. ``alignments`` have cand_id, read_id, s, e and ``rc``; a read counts once per candidate."""
+    over = (F.col("s") + margin < F.col(breakpoint)) & (F.col("e") - margin > F.col(breakpoint))
+    r = alignments.groupBy("cand_id", "read_id", "rc").agg(F.bool_or(over).alias("valid"))
+    return r.agg(F.count(F.lit(1)).alias("total"), F.count_if("valid").alias("valid"), F.count_if(F.col("valid") & F.col("rc")).alias("reversed"), F.count_if(F.col("valid") & ~F.col("rc")).alias("regular"))

@@ -129,3 +129,12 @@ def junction_spanning_reads(spark: SparkSession, folder: str) -> DataFrame:
     """Per candidate: alignments and reads, those with start < breakpoint < end, and the latter's reads by status."""
     a = _alignments(spark, folder)
     return Q.spanning_reads(a, Q.read_status(a, _ORDER, "bp"), "bp", _KINDS)
+
+
+@classification.add(f"""
+with {inputs.ALIGNMENTS}, r as (select cand_id, read_id, bool_or(s + 10 < 60 and e - 10 > 60) as valid from alignments group by 1, 2)
+select count(*) as total, count(case when valid then 1 end) as valid, count(case when valid and read_id % 2 = 1 then 1 end) as reversed, count(case when valid and read_id % 2 = 0 then 1 end) as regular from r
+""")
+def spanning_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Reads over junctions in all, those that span them by ten bases, and of these the reversed and the other ones."""
+    return Q.spanning_totals(_alignments(spark, folder).withColumn("rc", F.col("read_id") % 2 == 1), "bp", 10)

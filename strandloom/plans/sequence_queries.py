@@ -158,6 +158,16 @@ def fastq_quality_fill(spark: SparkSession, folder: str) -> DataFrame:
     return fastq_lines(inputs.seqs(spark, folder).withColumn("name", F.concat(F.lit("r"), "doc_id")), "name", "seq")
 
 
+@sequences.add(f"with {inputs.SEQS}, n as (select case when doc_id % 3 = 0 then 'scaffold_' else 'contig_' end || doc_id as name, seq from seqs) select name, length(seq) as bases, case when name like 'scaffold%' then 'scaffold' else 'contig' end as seg_type from n where contains(name, '_1')")
+def keyword_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Records whose name holds a keyword, with their length and kind of segment."""
+    from ..sources.sequences import by_keyword
+
+    kind = F.when(F.col("doc_id") % 3 == 0, "scaffold_").otherwise("contig_")
+    named = inputs.seqs(spark, folder).select(F.concat(kind, F.col("doc_id").cast("string")).alias("name"), "seq")
+    return by_keyword(named, "_1").select("name", F.length("seq").cast("bigint").alias("bases"), "seg_type")
+
+
 @sequences.add("""
 select seqname_ as name, case when contains(lower(seqname_), 'scf') then 'scaffold' else 'contig' end as seg_type, cast(count(*) as bigint) as n
 from gff_element where seqname_ is not null and contains(seqname_, '1') group by 1, 2
