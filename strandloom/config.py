@@ -26,11 +26,8 @@ KEYS = {
     "gtf": "annotation", "kmerlen": "kmer_length", "readlen": "read_length", "kmerratio": "kmer_ratio", "maxsupportnum": "max_support",
     "dodetection": "detect", "docomparison": "compare", "circrnadb": "database", "simulatorbenchmark": "truth",
 }
-# Keys of result files and the tools they are of.
-CALL_SETS = {
-    "myresult": "dbg", "ciriresult": "ciri", "circexplorerresult": "circexplorer", "findcircresult": "find_circ",
-    "circrnafinderresult": "circrna_finder", "circmarkerresult": "circmarker", "circrnadbresult": "database",
-}
+# What keys of result files (a tool's name and "Result") are named here where that isn't the name itself.
+CALL_SETS = {"my": "dbg", "findcirc": "find_circ", "circrnafinder": "circrna_finder", "circrnadb": "database"}
 
 
 @dataclass(frozen=True)
@@ -54,11 +51,11 @@ class EngineConfig:
     @staticmethod
     def from_ini(path: str | Path) -> EngineConfig:
         """Keys as fields of this class or as in ``KEYS``, in any section and case, ``kmer_ratio`` in percent; [call_sets]
-        maps tools to paths, as do the keys in ``CALL_SETS``. A key that is none of these raises ValueError."""
+        maps tools to paths, as do keys that end in Result. A key that is none of these raises ValueError."""
         ini = read_ini(path)
         flat = {KEYS.get(k.strip().lower(), k.strip().lower()): v.strip() for name, s in ini.items() if name != "call_sets" for k, v in s.items()}
-        sets = {k.strip(): v.strip() for k, v in ini.get("call_sets", {}).items()} | {CALL_SETS[k]: v for k, v in flat.items() if k in CALL_SETS and v}
-        if unknown := set(flat) - {f.name for f in fields(EngineConfig)} - {"reads1", "reads2", "threadsnum", *CALL_SETS}:
+        sets = {k.strip(): v.strip() for k, v in ini.get("call_sets", {}).items()} | {CALL_SETS.get(k[:-6], k[:-6]): v for k, v in flat.items() if k.endswith("result") and v}
+        if unknown := {k for k in flat if not k.endswith("result")} - {f.name for f in fields(EngineConfig)} - {"reads1", "reads2", "threadsnum"}:
             raise ValueError(f"unknown settings: {sorted(unknown)}")
         reads = [*flat.get("reads", "").split(","), flat.get("reads1", ""), flat.get("reads2", "")]
         yes = lambda k, default: flat.get(k, default).lower() in ("1", "true", "yes")

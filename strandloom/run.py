@@ -20,9 +20,9 @@ from .sources import calls as S
 from .sources.gtf import attribute_map, read_annotation
 from .sources.sequences import read_fasta, read_fastq
 
-#: How the result files of tools are read.
+#: How the result files of tools are read, where not as brief lines.
 READERS = {
-    "dbg": S.read_brief, "circmarker": S.read_brief, "database": S.read_brief, "ciri": S.read_spans,
+    "ciri": S.read_spans,
     "circexplorer": lambda s, p: S.read_bed(s, p, 3), "find_circ": lambda s, p: S.read_bed(s, p, 3), "circrna_finder": lambda s, p: S.read_bed(s, p, 3),
 }
 
@@ -85,7 +85,7 @@ def classification(details: DataFrame, genome: DataFrame, config: EngineConfig,
 
 def comparison(spark: SparkSession, config: EngineConfig) -> tuple[DataFrame, DataFrame]:
     """(scores of the run's call sets against each other's consensus, hits in the truth or database per tool)."""
-    sets = [READERS[tool](spark, path).select(F.lit(tool).alias("tool"), "chrom", "start_pos", "end_pos") for tool, path in sorted(config.call_sets.items())]
+    sets = [READERS.get(tool, S.read_brief)(spark, path).select(F.lit(tool).alias("tool"), "chrom", "start_pos", "end_pos") for tool, path in sorted(config.call_sets.items())]
     if not sets:
         raise ValueError("the settings name no call sets")
     calls = sets[0]
