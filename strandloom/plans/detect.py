@@ -5,19 +5,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.seq import donor_acceptor_signal, reverse_complement
 from ..operators.annotation import two_base_signals
 from ..operators.folds import merge_support
-from ..operators.links import EXON, exon_links
-from ..session import cut_lineage
+from ..operators.links import EXON, exon_links, reach
+from ..operators.seeds import places_of_reads
+from ..session import cut_packed
+from .follow import EXTRA, SAMPLES, Chromosome, Exon
 from .walk import supports
 
-SAMPLES = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
-#: Two nodes beside the seeds that tell candidates of equal counts apart.
-EXTRA = (0.15, 0.85)
+#: Reads of a chromosome that are followed at once.
+AT_ONCE = 20_000
+_FOUR = [a + b + c + d for a in "ACGT" for b in "ACGT" for c in "ACGT" for d in "ACGT"]
 
 
 def with_signals(exons: DataFrame, genome: DataFrame) -> DataFrame:
@@ -174,20 +179,64 @@ def detected_reads(reads: DataFrame, exons: DataFrame, read_length: int = 101, k
     head_signal, tail_signal). Every read is tried on every chromosome it has nodes on. Exons without either
     signal, or shorter than k, aren't indexed. No reads or no exons give no rows.
     """
-    indexed = exons.filter("head_signal or tail_signal")
-    links = cut_lineage(exon_links(indexed, read_length, k))
-    order = F.struct("gene_id", "tx_id", "exon_no", "segment", "pos")
-    nodes = links.groupBy("chrom", "kmer").agg(F.min_by("next_kmer", order).alias("first_next"), F.min_by("pre_kmer", order).alias("first_pre"))
-    on = cut_lineage(node_exons(links))
-    voted = cut_lineage(strand_vote(usable_reads(reads, read_length, k), nodes, k))
-    hits = seed_hits(voted, links, nodes, k, on)
-    cands = cut_lineage(candidates(hits, exons, read_length, k))
-    same = exons.select("chrom", "gene_id", "tx_id", "exon_no", F.xxhash64("seq").alias("h"))
-    pure = purified(cands, voted, links, exons, k, on)
-    pure = pure.join(same.withColumnsRenamed({"exon_no": "donor", "h": "dh"}), ["chrom", "gene_id", "tx_id", "donor"]).join(same.withColumnsRenamed({"exon_no": "acceptor", "h": "ah"}), ["chrom", "gene_id", "tx_id", "acceptor"])
-    pure = pure.filter("circ_type = 'S' or dh <> ah").drop("dh", "ah")
-    ok = verified(pure, voted, links, k, ratio)
-    return ok.join(voted.select("read_id", "chrom", "orient", "seq"), ["read_id", "chrom"]).select("read_id", "chrom", "circ_type", "orient", "seq", "donor_end", "acceptor_start", "strand", "gene_id", "tx_id", "donor", "acceptor")
+    placed = exons.filter("chrom is not null and gene_id is not null and tx_id is not null and exon_no is not null and start_pos is not null and end_pos is not null")
+    kept = usable_reads(reads, read_length, k).filter("read_id is not null")
+    kept = cut_packed(kept.select(F.monotonically_increasing_id().alias("rid"), "read_id", "seq"))
+    b = reach(read_length, k)
+    ends = F.when(F.length("seq") <= 2 * b, F.col("seq")).otherwise(F.concat(F.left("seq", F.lit(b)), F.lit(" "), F.right("seq", F.lit(b))))
+    pairs = places_of_reads(kept, placed.filter("head_signal or tail_signal").select("chrom", ends.alias("seq")), k)
+    small = kept.mapInArrow(_two_bits, StructType([kept.schema["rid"], kept.schema["read_id"]]).simpleString()[7:-1].replace(":", " ") + ", seq binary")
+    there = pairs.repartition("rid").dropDuplicates(["rid", "chrom"]).join(small, "rid").drop("rid")
+    known = [*EXON, "start_pos", "end_pos", "strand", "head_signal", "tail_signal"]
+    # a chromosome's exons in order, then its reads
+    rows = placed.select(*known, F.lit(0).alias("kind"), F.coalesce("seq", F.lit("")).cast("binary").alias("seq"), F.lit(None).cast(kept.schema["read_id"].dataType).alias("read_id"))
+    none = [F.lit(None).cast(placed.schema[c].dataType).alias(c) for c in known[1:]]
+    rows = rows.unionByName(there.select("chrom", *none, F.lit(1).alias("kind"), "seq", "read_id"))
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chrom").sortWithinPartitions("chrom", "kind", "gene_id", "tx_id", "exon_no")
+    like = placed.select(F.lit("").alias("circ_type"), F.lit("").alias("orient"), F.lit("").alias("seq"), "chrom", F.col("end_pos").alias("donor_end"), F.col("start_pos").alias("acceptor_start"), "strand", "gene_id", "tx_id", F.col("exon_no").alias("donor"), F.col("exon_no").alias("acceptor"))
+    names = ["read_id", "chrom", "circ_type", "orient", "seq", "donor_end", "acceptor_start", "strand", "gene_id", "tx_id", "donor", "acceptor"]
+    schema = StructType([(kept if c == "read_id" else like).schema[c] for c in names])
+    for f in schema.fields:
+        f.nullable = True
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, of, held = None, [], []
+
+        def followed() -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            if held and of:
+                place = Chromosome(of, read_length, k, ratio)
+                out = [(i, now, kind, orient, s, d.end_pos, a.start_pos, d.strand, d.gene_id, d.tx_id, d.exon_no, a.exon_no) for i, kind, orient, s, d, a in place.follow(held)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), arrow.types)], schema=arrow)
+            held = []
+
+        for batch in batches:
+            for chrom, kind, seq, read_id, *exon in zip(*[batch.column(c).to_pylist() for c in ("chrom", "kind", "seq", "read_id", *known[1:])]):
+                if chrom != now or len(held) >= AT_ONCE:
+                    yield from followed()
+                if chrom != now:
+                    now, of = chrom, []
+                if kind == 0:
+                    of.append(Exon(*exon, seq.decode()))
+                else:
+                    held.append((read_id, _bases(seq)))
+        yield from followed()
+
+    return rows.mapInArrow(run, schema)
+
+
+def _two_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads with two bits a base, after two bytes for their length."""
+    digits = str.maketrans("ACGT", "0123")
+    for b in batches:
+        seqs = [len(s).to_bytes(2) + int((s + "A" * (-len(s) % 4)).translate(digits), 4).to_bytes(-(-len(s) // 4)) for s in b.column("seq").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("read_id"), pa.array(seqs, pa.binary())], names=["rid", "read_id", "seq"])
+
+
+def _bases(two_bits: bytes) -> str:
+    return "".join([_FOUR[x] for x in two_bits[2:]])[: int.from_bytes(two_bits[:2])]
 
 
 def junctions(found: DataFrame) -> DataFrame:
