@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..operators.bands import band_join
 from ..operators.links import exon_links
-from ..session import cut_lineage
+from ..session import cut_lineage, cut_packed
 from . import detect as D
 from . import inputs
 from .registry import Registry
@@ -107,9 +107,9 @@ def backsplice_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 def _hard(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(exons, reads, junctions) of the genome with repeats and runs of N, signals told from its bases."""
-    genome = cut_lineage(inputs.genome_whole(spark, folder))
+    genome = cut_packed(inputs.genome_whole(spark, folder))
     places = inputs.spliced_exons(genome)
-    exons = cut_lineage(D.with_signals(places, genome))
+    exons = cut_packed(D.with_signals(places, genome))
     reads, truth = inputs.hard_reads(exons)
     return exons.drop("at"), reads, truth
 

@@ -21,6 +21,8 @@ _BASES = frozenset("ACGT")
 SAMPLES = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
 #: Two nodes beside the seeds that tell candidates of equal counts apart.
 EXTRA = (0.15, 0.85)
+#: Bases of a chromosome's exons up to which all their windows are held, so that most reads that don't belong there are left early.
+AT_HAND = 50_000
 #: Exons of which the links are kept for the next read.
 LINKED = 256
 
@@ -45,6 +47,8 @@ class Chromosome:
         self.parts = {i: p for i, e in enumerate(exons) if (e.head_signal or e.tail_signal) and (p := self._parts(e))}
         self.at: dict[str, list[tuple[int, int, int]]] = {}
         self.linked: dict[int, dict[str, list]] = {}
+        texts = [p for parts in self.parts.values() for p in parts]
+        self.nodes = {p[i : i + k] for p in texts for i in range(len(p) - k + 1)} if sum(map(len, texts)) <= AT_HAND else None
 
     def _parts(self, e: Exon) -> list[str]:
         s, k, b = e.seq.upper(), self.k, self.b
@@ -107,6 +111,8 @@ class Chromosome:
         for read_id, seq in reads:
             back = seq[::-1].translate(_COMPLEMENT)
             n = len(seq)
+            if not (self._seeded(seq) or self._seeded(back)):
+                continue
             spots = [int(np.float32(n) * np.float32(x)) for x in SAMPLES] if not ways or len(ways[-1][1]) != n else spots
             picks = [p for p in spots if p + k <= n]
             more = [int((n - k) * x) for x in EXTRA]
@@ -129,6 +135,17 @@ class Chromosome:
                     if (kind == "S" or self.exons[d].seq != self.exons[a].seq) and (kind == "R" or signal) and supports(s, self.links(d), self.links(a), kind == "S", k, self.ratio):
                         yield read_id, kind, orient, s, self.exons[d], self.exons[a]
 
+    def _seeded(self, s: str) -> bool:
+        """Whether two seeds of the head and two of the tail may be nodes; without these there are no hits."""
+        k, last = self.k, len(s) - self.k
+        if self.nodes is None:
+            return True
+        for head in (True, False):
+            at = [o if head else last - o for o in seed_offsets(k)]
+            if sum(0 <= p <= last and s[p : p + k] in self.nodes for p in at) < 2:
+                return False
+        return True
+
     def _hits(self, s: str) -> tuple[dict[int, list[str]], dict[int, list[str]]]:
         """Exons hit by most seeds of the head and of the tail, two at least, with the tags of the first seed there. None where two
         exons of one transcript on one side are: the read doesn't tell them apart."""

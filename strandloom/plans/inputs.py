@@ -130,7 +130,8 @@ def genome_whole(spark: SparkSession, folder: str) -> DataFrame:
     """(chrom, seq) out of all k-mers in order of their ids, 128 rows to a chromosome: the same stretches come back in other
     chromosomes, and where a string has other letters there is a run of N."""
     k = table(spark, folder, "st_kmerinfo").select(F.floor(F.col("iid") / 128).alias("chrom"), "iid", F.regexp_replace(F.upper("strseq"), "[^ACGT]", "N").alias("kmer"))
-    k = k.filter("kmer is not null").groupBy("chrom", "kmer").agg(F.min("iid").alias("iid"))
+    # dealt out once: both groupings go by the chromosome
+    k = k.filter("kmer is not null").repartition("chrom").groupBy("chrom", "kmer").agg(F.min("iid").alias("iid"))
     parts = k.groupBy("chrom").agg(F.array_sort(F.collect_list(F.struct("iid", "kmer"))).alias("p"))
     return parts.select("chrom", F.array_join(F.transform("p", lambda x: x["kmer"]), "").alias("seq"))
 

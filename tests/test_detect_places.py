@@ -92,3 +92,8 @@ def test_disk_follows_sequences(spark):
     found = D.detected_reads(reads, exons).select("read_id").distinct().count()
     assert found == 3 * truth.count()
     assert written() - before < 2 * sum(len(x[7]) for x in rows)
+
+
+def test_genome_is_dealt_out_once(spark, small):
+    plan = inputs.genome_whole(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") + plan.count("Exchange\n") == 1
